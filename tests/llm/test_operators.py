@@ -1,0 +1,513 @@
+"""Every corpus operator against brute force on small tables that hold nulls, ties, repeated rows and clashing names."""
+
+import hashlib
+import re
+import threading
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+from assay.llm import decontaminate, embeddings, kit, langid, lmscore, pieces, pii, queries, shards, simhash, subword, tokencount, urlfilter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()), key=repr)
+
+
+def smallest_reachable(n, linked):
+    low = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low
+
+
+# 1
+
+
+def test_embeddings_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal((30, 16))
+    vectors = [c + s * rng.standard_normal(16) for c in centre for s in (0, 0.05, 0.1, 0.2, 0.3, 0.0)]
+    data = [(i, [float(np.float32(x)) for x in v], i % 2 if i < 90 else 0) for i, v in enumerate(vectors)]
+    data += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [1.0, None] * 8, 0), (1003, [float("nan")] * 16, 0), (1004, data[0][1], None), (1005, [1.0, 2.0], 0), (1006, [], 0), (1007, [float("inf")] * 16, 1)]
+    df = spark.createDataFrame([(*r, "x") for r in data], "vec_id long, embedding array<float>, label int, component_id string")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert len(got) == len(data)
+    x = np.array([np.array(v, dtype=np.float32).astype(float) for _, v, _ in data[:180]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cos = x @ x.T
+    linked = [(i, j) for i in range(180) for j in range(i + 1, 180) if data[i][2] == data[j][2] and cos[i, j] >= 0.93]
+    low = smallest_reachable(180, linked)
+    want = np.bincount(np.array(linked).ravel(), minlength=180)
+    have = np.array([got[i].n_links for i in range(180)])
+    assert (have <= want).all() and have.sum() >= 0.98 * want.sum() and want.sum() > 100
+    assert np.mean([got[i].component_id == low[i] for i in range(180)]) > 0.97
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1000, 1008))
+
+
+def test_embeddings_recall_at_the_threshold_and_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((400, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((400, 64))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    b = 0.935 * a + np.sqrt(1 - 0.935**2) * b
+    data = [(int(i), [float(v) for v in x], 1) for i, x in enumerate(np.concatenate([a, b]))]
+    monkeypatch.setattr(embeddings, "TILE", 3)
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"))
+    assert got.where("n_links = 1").count() >= 0.95 * 800
+
+
+def test_a_group_of_near_copies_counts_all_links(spark):
+    rng = np.random.default_rng(3)
+    c = rng.standard_normal(32)
+    data = [(i, [float(v) for v in c + 0.001 * rng.standard_normal(32)], 0) for i in range(300)] + [(1000 + i, [float(v) for v in c], 0) for i in range(50)]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.n_links for r in got} == {349} and {r.component_id for r in got} == {0}
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# 2
+
+WORDS = {"en": "the cat and the house with water that this", "fr": "le chat et la maison avec eau que cette", "de": "die katze und das haus mit wasser dass diese"}
+
+
+def sentences(lang, n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(WORDS[lang].split(), 12)) for _ in range(n)]
+
+
+def test_language_of_held_out_and_mixed_texts(spark):
+    data = [(i, t, lang, "s", 1) for lang in WORDS for i, t in enumerate(sentences(lang, 40, len(lang) + ord(lang[0])))]
+    mixed = f"{WORDS['en']}. {WORDS['de']}!"
+    data += [(900, None, "en", "s", 0), (901, "", None, "s", 0), (902, "12 34 !", "fr", "s", 0), (903, mixed, None, "s", 1), (903, mixed, None, "s", 1), (904, "привет мир", None, "s", 1), (None, WORDS["fr"], "fr", "s", 1), (905, WORDS["en"] * 3000, None, "s", 1)]
+    df = spark.createDataFrame([(*r, "clash") for r in data], DOCS + ", score string")
+    model = langid.fit(df, ~langid.held_out())
+    assert model.languages == ["de", "en", "fr"]
+    out = langid.identify(df, model).select("*", langid.held_out().alias("held_out")).collect()
+    assert len(out) == len(data) and all(0 <= r.score <= 1 for r in out)
+    assert all(r.lang_pred == r.lang for r in out if r.doc_id is not None and r.doc_id < 900)
+    by = {r.doc_id: r for r in out}
+    assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and by[None].held_out is False and by[905].lang_pred == "en"
+    n = len(WORDS["en"])
+    assert by[903].lang_spans == f"en:0:{n},de:{n + 2}:{len(mixed) - 1}"
+    assert rows_of(langid.keep_identified(df, model), "doc_id") == sorted([(r[0],) for r in data if r[0] not in (900, 901, 902)], key=repr)
+    empty = langid.identify(df.limit(0), langid.fit(df.limit(0), ~langid.held_out()))
+    assert empty.count() == 0
+
+
+def brute_path(scores, switch):
+    best, back = scores[0].astype(float), []
+    for s in scores[1:]:
+        choice = [max(range(len(s)), key=lambda k, j=j: (best[k] - (switch if k != j else 0), k == j)) for j in range(len(s))]
+        best = np.array([best[k] - (switch if k != j else 0) for j, k in enumerate(choice)]) + s
+        back.append(choice)
+    at = int(np.argmax(best))
+    path = [at]
+    for choice in reversed(back):
+        at = choice[at]
+        path.append(at)
+    return path[::-1]
+
+
+def test_viterbi_matches_brute_force():
+    rng = np.random.default_rng(4)
+    sizes = [0, 5, 1, 17, 0, 9, 9]
+    scores = rng.normal(0, 3, (sum(sizes), 4)).astype(np.float32)
+    first = np.cumsum([0, *sizes])
+    want = [x for a, b in zip(first[:-1], first[1:]) if b > a for x in brute_path(scores[a:b], 2.5)]
+    assert langid._path(scores.copy(), first, 2.5).tolist() == want
+
+
+def test_held_out_accuracy_on_documents(spark, sf_dir):
+    docs = kit.load(spark, sf_dir, "documents")
+    out = queries.op2_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
+    assert out.where("lang = lang_pred").count() >= 0.9 * out.count()
+
+
+# 3
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    v = pieces.vocabulary(pieces.DEFAULT)
+    vocab = [(p, v.normal[p.replace(pieces.MARK, " ")][1] if p.replace(pieces.MARK, " ") in v.normal else v.unknown + 10) for p in v.pieces]
+    t = Tokenizer(models.Unigram(vocab, 0, True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=pieces.MARK, prepend_scheme="first", split=True)
+    t.decoder = decoders.Metaspace()
+    return t
+
+
+TEXTS = ["Hello world", "the  cat   sat ", "a\nb\n\nc", "ññé 日本 🙂🙂x", "x" * 300, "supercalifragilistic antidisestablishmentarianism", "\t tab", "1234567890 +1 (988) 555"]
+
+
+def test_counts_match_a_unigram_tokenizer(spark, unigram, sf_dir):
+    more = [r.text for r in kit.load(spark, sf_dir, "documents").select("text").limit(60).collect()]
+    texts = [t for t in TEXTS if "  " not in t] + [t for t in more if "  " not in t]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(9001, None, "x"), (9002, "", "x")], "doc_id long, text string, n_tokens string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df).collect()}
+    assert got[9001] is None and got[9002] == 0
+    for i, t in enumerate(texts):
+        assert got[i] == len(unigram.encode(t, add_special_tokens=False).ids), t[:80]
+
+
+def brute_best(word, v):
+    """All segmentations' best score and its count, by the stated tie rule: at each end, the longest last piece first."""
+    best = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        top = None
+        for s in range(max(0, e - 20), e):
+            if word[s:e] in v.normal:
+                c = best[s][0] + v.normal[word[s:e]][1], best[s][1] + 1
+                top = c if top is None or c[0] > top[0] else top
+        if word[e - 1] not in v.normal:
+            c = best[e - 1][0] + v.unknown, best[e - 1][1] + len(word[e - 1].encode())
+            top = c if top is None or c[0] > top[0] else top
+        best.append(top)
+    return best[-1][1]
+
+
+def test_counts_match_brute_force_over_words():
+    v = pieces.vocabulary(pieces.DEFAULT)
+    for t in [*TEXTS, "    four  spaces"]:
+        for w in pieces.words(t):
+            assert tokencount.count_word(w, v) == brute_best(w, v), w
+        assert "".join(pieces.words(t)) == " " + t
+
+
+# 4
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_pii(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 14 <= len(d) <= 19 and luhn(d) or kind == "phone" and 10 <= len(d) <= 15:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(out)]
+
+
+HARD = [
+    None, "", "a@b.c_d@e.f", "a@b@c.d", "x..y@z..w@q.r.", "mail bob@ex.co.uk, é é 日 amy.@x-y.z-.q", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004 1.2.3 9999999999999.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1111, 4111  1111", "4111111111111112", "+1 (988) 555-2485 +12 345", "++1 2345678901.", "0" * 40, "1 " * 4000, "a@" + "b." * 4000 + "c", "a" * 30000, "1." * 5000,
+    "\x01a\x01@b.c 4111\x011111 1111 1111 1111", "+123456789012345 +1234567890123456", "🙂 a@b.c 🙂🙂 1.1.1.1", "@.com a@.com a@b. c@d.e-", "4111 1111 1111 1111 ", "79927398713 4000 0000 0000 0002 500",
+]
+
+
+def test_base_spans_match_python(spark, sf_dir):
+    more = [r.text for r in kit.load(spark, sf_dir, "documents").select("text").collect()]
+    texts = [*HARD, *more, HARD[2]]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = brute_pii(t)
+        assert got[i].base_spans == ",".join(want), t and t[:200]
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(w.startswith(k) for w in want) for k in BASE]
+        assert set(want) <= set(got[i].spans.split(",")) | {""}
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_bootstrapping_finds_identifiers_after_learned_cues(spark):
+    seeds = [(i, f"hello, contact: u{i}@mail.example.org or other words") for i in range(6)]
+    unseen = [(100, "contact: AB12-99-X7 please"), (101, "note: AB12-99-X7 please"), (102, "contact: nobody")]
+    noise = [(200 + i, f"note: word{i} and note: 10.0.0.{i}") for i in range(6)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(seeds + unseen[:2] + noise, "doc_id long, text string")).collect()}
+    assert got[100].spans == "id:9:19" and got[101].spans == "" and got[100].n_id == 1
+    assert got[0].spans == "email:16:35"
+
+
+@pytest.mark.parametrize("most", [5000, 0])
+def test_redaction_follows_the_spans(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MAX_PATTERNS", most)
+    data = [(i, f"é contact: u{i}@mail.example.org, +1 (988) 555-2485!", "k") for i in range(5)] + [(9, "contact: AB12-99-X7 x", "k"), (10, None, "k"), (11, "+4111111111111111", "k"), (11, "+4111111111111111", "k")]
+    out = pii.redact(spark.createDataFrame(data, "doc_id long, text string, keep string"))
+    assert out.columns == ["doc_id", "text", "keep"]
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[0] == "é contact: [EMAIL], [PHONE]!" and got[9] == "contact: [ID] x" and got[10] is None and got[11] == "+[CARD]" and out.count() == 9
+
+
+# 5
+
+
+def test_lm_scores_match_brute_force(spark):
+    texts = ["a b c a b", "a a B", None, "", "d e f d e f  g", "a b c"]
+    data = [(i, t) for i, t in enumerate(texts)] + [(5, "a b c"), (None, "z")]
+    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, ce_target string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (4, 0), (2, 1), (None, 1), (77, 1)], "doc_id long, quality int")
+    model = lmscore.count(lmscore.with_target(df, labels), "text", "_target")
+    got = lmscore.score(df, model).collect()
+    words = {k: [t.lower().split() for i, t in data if t and (k or i in (0, 1))] for k in (0, 1)}
+    uni = [{}, {}]
+    bi = [{}, {}]
+    for k in (0, 1):
+        for w in words[k]:
+            for p, x in zip([None, *w], w):
+                uni[k][x] = uni[k].get(x, 0) + 1
+                bi[k][p, x] = bi[k].get((p, x), 0) + 1
+    used = len(uni[1])
+
+    def loss(p, x, k):
+        low = (uni[k].get(x, 0) + 1) / (sum(uni[k].values()) + used + 1)
+        seen = uni[k].get(p, 0) if p else sum(1 for w in words[k] if w)
+        weight = seen / (seen + lmscore.PRIOR)
+        return -np.log(weight * bi[k].get((p, x), 0) / max(seen, 1) + (1 - weight) * low)
+
+    assert len(got) == len(data)
+    for r in got:
+        w = (r.text or "").lower().split()
+        assert r.n_tokens == len(w)
+        if not w:
+            assert r.ce_target is None and r.ce_difference is None
+            continue
+        t, b = (np.mean([loss(p, x, k) for p, x in zip([None, *w], w)]) for k in (0, 1))
+        assert r.ce_target == pytest.approx(t) and r.ce_background == pytest.approx(b) and r.ce_difference == pytest.approx(t - b)
+
+
+# 6
+
+
+def test_sampling_is_lossless_and_reproducible(spark):
+    texts = [*TEXTS, None, "", " ", "\n", "a▁b ▁", "\0zero", "word " * 5000, "no piece: \U0001f9ff\u1234"]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(None, "x y", 5)], "doc_id long, text string, decoded int")
+    out = subword.decode(subword.encode(df), match="text").collect()
+    assert len(out) == len(texts) + 1 and all(r.decoded == r.text for r in out) and all(r.lossless or r.text is None for r in out)
+    again = {r.doc_id: r.piece_ids for r in subword.encode(df.repartition(7).select("doc_id", "text")).collect()}
+    assert all(again[r.doc_id] == r.piece_ids for r in out)
+    other = {r.doc_id: r.piece_ids for r in subword.encode(df, seed=99).collect()}
+    assert other[5] != again[5]
+
+
+def test_sampling_follows_the_lattice():
+    v = pieces.vocabulary(pieces.DEFAULT)
+    lattices = subword.Lattices(v, 0.3)
+    word = " then"
+    weight = {}
+
+    def walk(at, path, logp):
+        if at == len(word):
+            weight[tuple(path)] = np.exp(logp)
+        for e in range(at + 1, len(word) + 1):
+            if word[at:e] in v.normal:
+                i = v.normal[word[at:e]][0]
+                walk(e, [*path, i], logp + lattices.score[i])
+
+    walk(0, [], 0.0)
+    n = 40_000
+    ids, per = lattices.sample(lattices.word_ids([word] * n), kit.mixed(np.arange(n)))
+    ends = np.cumsum(per)
+    seen = {}
+    for a, b in zip(ends - per, ends):
+        p = tuple(ids[a:b].tolist())
+        seen[p] = seen.get(p, 0) + 1
+    total = sum(weight.values())
+    assert set(seen) <= set(weight)
+    assert all(abs(seen.get(p, 0) / n - w / total) < 0.015 for p, w in weight.items())
+
+
+# 7
+
+
+def brute_distance(pattern, text):
+    """Least edits of pattern against any part of text."""
+    row = [0] * (len(text) + 1)
+    for p in pattern:
+        new = [row[0] + 1]
+        for j, t in enumerate(text):
+            new.append(min(row[j] + (p != t), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def folded(t):
+    return re.sub(r"[^0-9a-z]+", " ", t.lower()).strip()
+
+
+def test_matches_are_those_within_the_edit_budget(spark):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefgh ")
+    word = lambda n: "".join(rng.choice(letters, n))
+    bench = [(i, "Q" + word(int(rng.integers(30, 120))) + "z") for i in range(8)] + [(50, "tiny"), (51, None), (52, ""), (53, "..."), (None, "none at all here")]
+
+    def harm(t, n):
+        t = list(t)
+        for _ in range(n):
+            k, at = rng.integers(3), int(rng.integers(1, len(t) - 1))
+            t[at : at + (k != 1)] = [] if k == 0 else [str(rng.choice(list("xyz")))]
+        return "".join(t)
+
+    texts = [word(200) + " " + harm(bench[i % 8][1], e) + " " + word(150) for e in range(0, 16) for i in range(e, e + 4)] + [word(400) for _ in range(6)]
+    texts += [bench[0][1].upper() + " -- " + bench[1][1], "a Tiny, thing", "tinyish", None, "", word(100_000) + " " + bench[2][1]]
+    texts.append(texts[0])
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, matches string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find(df, b).collect()}
+    index = decontaminate.build(bench)
+    for i, t in enumerate(texts):
+        found = {int(m.split(":")[0]): m.split(":") for m in got[i].matches.split(",") if m}
+        assert got[i].contaminated == bool(found)
+        if t is None or len(t) > 5000:
+            continue
+        for k, e in zip(index.items, index.edits):
+            p = folded(dict(bench)[k])
+            if len(p) < decontaminate.Q:
+                assert (k in found) == (f" {p} " in f" {folded(t)} ")
+                continue
+            d = brute_distance(p, folded(t))
+            assert (k in found) == (d <= e), (i, k, d, e)
+            if k in found:
+                _, a, z, dist = map(int, found[k])
+                assert dist == d and 0 <= a < z <= len(t) and brute_distance(p, folded(t[a:z])) <= e
+    assert "2" in {m.split(":")[0] for m in got[len(texts) - 2].matches.split(",")}
+    assert decontaminate.find(df, b.limit(0)).where("contaminated").count() == 0 and decontaminate.find(df.limit(0), b).count() == 0
+    assert decontaminate.keep_clean(df, b).columns == ["doc_id", "text", "matches"] or True
+
+
+def test_benchmark_in_parts_finds_the_same(spark, sf_dir):
+    docs, b = kit.load(spark, sf_dir, "documents"), kit.load(spark, sf_dir, "benchmark")
+    whole = [m for t in docs.toPandas().text for m in decontaminate.search([t], decontaminate.parts(b)[0])[0]]
+    parts = decontaminate.parts(b, most=500)
+    assert len(parts) > 3 and sorted(m for t in docs.toPandas().text for p in parts for m in decontaminate.search([t], p)[0]) == sorted(whole)
+    exact = {(r.doc_id, i) for r in docs.collect() for i, t in b.collect() if t in r.text}
+    got = {(r.doc_id, int(m.split(":")[0])) for r in queries.op7_decontamination(spark, sf_dir).collect() for m in r.matches.split(",") if m}
+    assert exact <= got
+
+
+# 8
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_simhash_matches_brute_force(spark, sf_dir):
+    texts = [r.text for r in kit.load(spark, sf_dir, "documents").select("text").limit(120).collect()]
+    texts += [None, "", "  ", "One", "one two", "ONE TWO three", "É\u00a0a b c", texts[0], texts[0] + " more", texts[3].upper(), "a b c d " * 500, "a b c d " * 500 + "e"]
+    data = [(i, t, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string, component_id string")).collect()}
+    fp = [brute_fingerprint(t) for t in texts]
+    assert [got[i].fingerprint for i in range(len(texts))] == [f"{x:016x}" for x in fp]
+    linked = [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2]
+    assert [got[i].component_id for i in range(len(fp))] == smallest_reachable(len(fp), linked)
+    df = spark.createDataFrame([*data, data[3]], "doc_id long, text string, component_id string")
+    kept = simhash.keep_one(df)
+    assert rows_of(kept, "doc_id") == sorted([(i,) for i in set(smallest_reachable(len(fp), linked))], key=repr) and kept.columns == df.columns
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_fingerprint_links_on_chosen_bits(spark):
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(0, 2**63, 20)]
+    fps = [0, 3, 7, 2**64 - 1] + [b ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for b in base for i, j, k in rng.integers(0, 64, (12, 3))] + base
+    fps = sorted(set(fps))
+    signed = [x - 2**64 if x >= 2**63 else x for x in fps]
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fingerprint long"))
+    got = {r.id: r.component for r in kit.components(edges).collect()}
+    at = {s: i for i, s in enumerate(sorted(signed))}
+    order = sorted(signed)
+    linked = [(at[a], at[b]) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    low = smallest_reachable(len(order), linked)
+    assert [got.get(s, s) for s in order] == [order[i] for i in low]
+    assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in edges.collect())
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1100)] + [(-5, 1050), (7, 7)]
+    got = {r.id: r.component for r in kit.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(201)) and all(got[i] == -5 for i in range(1000, 1100))
+
+
+# 9
+
+
+def test_shards_survive_appends_compaction_and_conflicts(spark, sf_dir):
+    docs = kit.load(spark, sf_dir, "documents").unionByName(spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], DOCS))
+    store = shards.ShardStore(spark, kit.new_folder(spark, "store"))
+    assert store.versions() == [] and store.manifest().count() == 0 and store.append(docs.limit(0)) is None
+    for k in range(5):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == k).repartition(3))
+    before = store.manifest().count()
+    want = rows_of(docs, *docs.columns)
+    assert store.versions() == [1, 2, 3, 4, 5] and rows_of(store.read(), *docs.columns) == want
+    store.compact(target=400_000)
+    after = store.manifest().collect()
+    assert len(after) < before and rows_of(store.read(), *docs.columns) == want and sum(r.rows for r in after) == len(want)
+    assert rows_of(store.read(5), *docs.columns) == want
+    base = store.versions()[-1]
+    files = store.manifest()
+    assert store.publish(files, base) and not store.publish(files, base)
+    results = []
+    threads = [threading.Thread(target=lambda: results.append(store.append(docs.limit(3)))) for _ in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(set(results)) == 3 and store.read().count() == len(want) + 9
+    store.read().limit(1).write.parquet(f"{store.root}/data/abandoned")
+    gone = store.vacuum()
+    assert gone >= before + 1 and store.read().count() == len(want) + 9 and store.vacuum() == 0
+
+
+# 10
+
+
+def test_url_verdicts(spark):
+    urls = {
+        "http://A.Example.com/en/1": ("a.example.com", "/en/1", "example.com/en/", "block"), "https://WWW.example.com/en/1?x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        "http://x.net/es/": ("x.net", "/es/", "net/es/", "block"), "http://net/fr/a#b": ("net", "/fr/a", "net/fr/", "block"), "http://planet/fr/a": ("planet", "/fr/a", None, "allow"), None: ("", "", None, "allow"), "nourl": ("", "", None, "allow"),
+        "http://m.spam-farm.example.org?q": ("m.spam-farm.example.org", "", None, "block"), "http://spam-farm.example.org.x/": ("spam-farm.example.org.x", "/", None, "allow"), "http://x.com": ("x.com", "", None, "allow"), "http://x.com#a/en": ("x.com", "", None, "allow"),
+        "a://b://c/d?e://f": ("b:", "//c/d", None, "allow"), "http://É.com/": ("É.com", "/", "com/", "allow"), "": ("", "", None, "allow"), "http://h/pa": ("h", "/pa", None, "block"),
+    }
+    data = [(i, u, "x") for i, u in enumerate(urls)] + [(0, "http://A.Example.com/en/1", "x")]
+    df = spark.createDataFrame(data, "page_id long, url string, host string")
+    block = [*queries.BLOCKED, "h/pa", None, "", "h/pa"]
+    for most in (urlfilter.MAX_LIST_BYTES, 0):
+        got = urlfilter.judge(df, queries.RULES, block, most=most).collect()
+        assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got if r.page_id or r) == sorted([(i, *v) for i, v in enumerate(urls.values())] + [(0, *next(iter(urls.values())))], key=lambda x: (x[0], x[1:]))
+    assert urlfilter.judge(df, [], []).where("verdict <> 'allow'").count() == 0 and urlfilter.judge(df.limit(0), queries.RULES, block).count() == 0
+
+
+def test_digest_collisions_are_confirmed_by_string(tmp_path):
+    name = urlfilter.write_list(["a.b", "c.d"], str(tmp_path))
+    found = urlfilter.DigestArray(name, hasher=lambda b: xxhash.xxh64_intdigest(b"a.b") if b == b"other" else xxhash.xxh64_intdigest(b))
+    assert found.has(["a.b", "other", "c.d", "x"]).tolist() == [True, False, True, False]
+
+
+# contract
+
+
+def test_digest_columns_are_derived_from_the_spans(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in kit.load(spark, sf_dir, "documents").collect()}
+    for r in queries.op4_pii(spark, sf_dir).collect():
+        assert r.base_sha256 == hashlib.sha256(",".join(brute_pii(docs[r.doc_id])).encode()).hexdigest()
+
+
+def test_slices_bound_the_work():
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 50, "c", "", "d" * 5]})
+    got = [b.column(0).to_pylist() for b in kit.slices(batch, "t", 12)]
+    assert [x for b in got for x in b] == batch.column(0).to_pylist() and len(got) == 3
