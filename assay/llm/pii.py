@@ -6,8 +6,9 @@ neither recurses nor starts anew inside a run (separators inside a run become a
 the same.
 
 Bootstrapping: a cue is a word followed by `:`, `=` or `#` before a value. Values that are base entities are the seeds.
-Over the graph of cues and values, a cue's confidence is the mean score of its distinct values, a value's score the
-greatest confidence among its cues (seeds stay 1); this is iterated `ROUNDS` times. Cues with a confidence of at least
+Over the graph of cues and values, a cue's confidence is the mean score of its distinct values; towards a cue, a value
+scores the mean confidence of its other cues, so no cue vouches for itself (seeds stay 1); this is iterated `ROUNDS`
+times. Cues with a confidence of at least
 `CONFIDENCE` over at least `SUPPORT` distinct seeds are the learned patterns, and identifier-like values (six characters
 with a digit, or more) after them are new spans of kind `id`. Base spans always stay.
 
@@ -121,8 +122,10 @@ def learn(cues: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     edges = edges.join(seeded, "cue", "left_semi").withColumn("score", F.col("seed"))  # a cue without a seed can't reach the support
     for _ in range(rounds):
         trust = edges.groupBy("cue").agg(F.avg("score").alias("trust"))
-        best = edges.join(trust, "cue").groupBy("value").agg(F.max("trust").alias("best"))
-        edges = kit.cut(edges.drop("score").join(best, "value").select("cue", "value", "seed", F.greatest("seed", "best").alias("score")))
+        edges = kit.cut(edges.join(trust, "cue"))
+        sums = edges.groupBy("value").agg(F.sum("trust").alias("total"), F.count("*").alias("n"))
+        others = F.when(F.col("n") > 1, (F.col("total") - F.col("trust")) / (F.col("n") - 1)).otherwise(0.0)
+        edges = kit.cut(edges.join(sums, "value").select("cue", "value", "seed", F.greatest("seed", others).alias("score")))
     sums = edges.groupBy("cue").agg(F.avg("score").alias("trust"), F.sum("seed").alias("seeds"))
     return kit.cut(sums.where((F.col("trust") >= confidence) & (F.col("seeds") >= support)).select("cue"))
 

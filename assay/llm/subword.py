@@ -67,9 +67,8 @@ class Lattices:
     def _add(self, new: list[str]) -> None:
         """Forward filtering of new words, all of them side by side, place after place."""
         sizes = np.array([len(w) for w in new], dtype=np.int64)
-        text = "".join(f"{w}\n" if w != "\n" else "\0\n" for w in new)  # no piece holds a line break
+        text = "".join(f"{w}\n" for w in new)  # no piece holds a line break
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        codes = np.where(codes == 0, 10, codes)
         starts = np.cumsum(sizes + 1) - sizes - 1
         got = [(end, size, i) for end, (size, _, i) in self.v.automaton.iter(text)]
         end, size, piece = np.array(got, dtype=np.int64).reshape(-1, 3).T

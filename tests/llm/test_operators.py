@@ -299,7 +299,7 @@ def test_sampling_is_lossless_and_reproducible(spark):
     again = {r.doc_id: r.piece_ids for r in subword.encode(df.repartition(7).select("doc_id", "text")).collect()}
     assert all(again[r.doc_id] == r.piece_ids for r in out)
     other = {r.doc_id: r.piece_ids for r in subword.encode(df, seed=99).collect()}
-    assert other[5] != again[5]
+    assert other != again
 
 
 def test_sampling_follows_the_lattice():
