@@ -29,8 +29,9 @@ from assay.llm import kit
 Q = 8
 BUDGET = 0.1
 MAX_BENCHMARK_CHARS = 20_000_000
-FILTER_BITS = 22
-_PRIME = np.uint64(0x100000001B3)
+#: Cells of the first filter for each q-gram of the benchmark.
+FILTER_CELLS = 32
+_PRIME = 0x100000001B3
 
 
 def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -41,21 +42,30 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _fold(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As fold(). Zeros end texts and stay."""
-    low = np.where(raw < 0x10000, kit.folded()[np.minimum(raw, 0xFFFF)], raw)
+    low = kit.folded()[np.minimum(raw, 0xFFFF)]
+    if len(raw) and raw.max() > 0xFFFF:
+        low = np.where(raw < 0x10000, low, raw)
     low[raw == 0] = 0
     space = low == 32
-    keep = ~space
-    keep[1:] |= space[1:] & ~space[:-1] & (low[:-1] != 0)
-    at = np.flatnonzero(keep)
+    drop = space[1:] & (space[:-1] | (low[:-1] == 0))
+    at = np.flatnonzero(~np.append(space[:1], drop))
     return low[at], at
 
 
-def _grams(c: np.ndarray, q: int) -> np.ndarray:
-    out = np.zeros(max(len(c) - q + 1, 0), dtype=np.uint64)
-    for k in range(q):
-        out *= _PRIME
-        out += c[k : len(c) - q + 1 + k]
-    return out
+def _grams(c: np.ndarray, q: int, kind: type) -> np.ndarray:
+    """A rolling hash of every q code points: those of 1, 2, 4 .. are doubled, and put together to q."""
+    prime, part, size = kind(_PRIME & np.iinfo(kind).max), c.astype(kind), 1
+    out, have = None, 0
+    n = max(len(c) - q + 1, 0)
+    power = prime
+    while True:
+        if q & size:
+            out = part[have : have + n].copy() if out is None else out * power + part[have : have + n]
+            have += size
+        if have == q:
+            return out
+        part = part[:-size] * power + part[size:] if len(part) > size else part[:0]
+        size, power = 2 * size, power * power
 
 
 @dataclass
@@ -67,30 +77,33 @@ class Index:
     least: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
 
     def __post_init__(self) -> None:
-        every = [(_grams(c, self.q), i) for i, c in enumerate(self.codes) if len(c) >= self.q]
-        grams = np.concatenate([g for g, _ in every] or [np.zeros(0, np.uint64)])
-        item = np.concatenate([np.full(len(g), i) for g, i in every] or [np.zeros(0, np.int64)])
-        place = np.concatenate([np.arange(len(g)) for g, _ in every] or [np.zeros(0, np.int64)])
+        every = [(c, i) for i, c in enumerate(self.codes) if len(c) >= self.q]
+        with np.errstate(over="ignore"):
+            grams = np.concatenate([_grams(c, self.q, np.uint64) for c, _ in every] or [np.zeros(0, np.uint64)])
+            short = np.concatenate([_grams(c, self.q, np.uint32) for c, _ in every] or [np.zeros(0, np.uint32)])
+        item = np.concatenate([np.full(len(c) - self.q + 1, i) for c, i in every] or [np.zeros(0, np.int64)])
+        place = np.concatenate([np.arange(len(c) - self.q + 1) for c, _ in every] or [np.zeros(0, np.int64)])
         order = np.argsort(grams, kind="stable")
         self.keys, starts = np.unique(grams[order], return_index=True)
         self.starts = np.append(starts, len(grams))
         self.item, self.place = item[order], place[order]
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self._cell(self.keys)] = True
+        self.shift = np.uint32(32 - min(max((FILTER_CELLS * len(self.keys)).bit_length(), 10), 28))
+        self.filter = np.zeros(1 << (32 - int(self.shift)), dtype=bool)
+        self.filter[self._cell(short)] = True
         self.short = [(i, c) for i, c in enumerate(self.codes) if 0 < len(c) < self.q]
 
-    @staticmethod
-    def _cell(grams: np.ndarray) -> np.ndarray:
-        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    def _cell(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint32(0x9E3779B1)) >> self.shift
 
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in c and postings of the q-grams found."""
-        grams = _grams(c, self.q)
-        if not len(self.keys) or not len(grams):
+        """Places in c and postings of the q-grams found: a filter over short hashes first, then the full hashes."""
+        if not len(self.keys) or len(c) < self.q:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.filter[self._cell(grams)])
-        k = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        same = self.keys[k] == grams[at]
+        with np.errstate(over="ignore"):
+            at = np.flatnonzero(self.filter[self._cell(_grams(c, self.q, np.uint32))])
+            grams = _grams(c[at[:, None] + np.arange(self.q)].reshape(-1), self.q, np.uint64)[:: self.q]
+        k = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        same = self.keys[k] == grams
         at, k = at[same], k[same]
         n = self.starts[k + 1] - self.starts[k]
         posting = np.repeat(self.starts[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -119,24 +132,29 @@ def _align(text: np.ndarray, base: np.ndarray, width: np.ndarray, patterns: np.n
     base: place in the text of the band's first diagonal. free: the offsets at which an alignment may begin.
     """
     n, most = len(base), int(width.max())
-    offset = np.arange(most)
-    big = 1 << 20
-    dist = np.where(free, 0, big) + np.minimum(offset, 0)
-    dist = np.where(offset[None, :] < width[:, None], dist, big)
+    offset = np.arange(most, dtype=np.int32)
+    big = np.int32(1 << 20)
+    within = offset[None, :] < width[:, None]
+    dist = np.where(free & within, np.int32(0), big)
     done, where = np.full(n, big), np.zeros(n, dtype=np.int64)
-    padded_end = len(text) - 1
+    pad = int(max(-base.min(), 0, (base + width + sizes).max() - len(text))) + 1
+    padded = np.concatenate([np.full(pad, 0xFFFFFFFD, np.uint32), text, np.full(pad, 0xFFFFFFFD, np.uint32)])
+    at = base[:, None] + offset + pad
+    at[~within] = 0
+    skip = np.full((n, most), big, dtype=np.int32)
     for i in range(int(sizes.max())):
-        c = text[np.clip(base[:, None] + offset + i, 0, padded_end)]
-        outside = (base[:, None] + offset + i < 0) | (base[:, None] + offset + i > padded_end)
-        step = dist + ((c != patterns[:, i, None]) | outside)
-        skip = np.concatenate([dist[:, 1:], np.full((n, 1), big)], axis=1) + 1
-        now = np.minimum(step, skip)
-        now = np.minimum.accumulate(now - offset, axis=1) + offset
-        dist = np.where(offset[None, :] < width[:, None], now, big)
+        skip[:, :-1] = dist[:, 1:] + 1
+        dist += padded[at] != patterns[:, i, None]
+        np.minimum(dist, skip, out=dist)
+        dist -= offset
+        np.minimum.accumulate(dist, axis=1, out=dist)
+        dist += offset
+        dist[~within] = big
+        at += within
         ends = np.flatnonzero(sizes == i + 1)
         if len(ends):
-            at = dist[ends].argmin(axis=1)
-            done[ends], where[ends] = dist[ends, at], at
+            first = dist[ends].argmin(axis=1)
+            done[ends], where[ends] = dist[ends, first], first
     return done, where
 
 
@@ -150,15 +168,16 @@ def search(texts: list[str], index: Index) -> list[list[tuple[int, int, int, int
         item = index.item[posting]
         diagonal = hit - index.place[posting]
         half = index.edits[item] + 1
+        items = len(index.items)
         bands = []
         for shift in (0, 1):
-            band = (diagonal + shift * half) // (2 * half)
-            key = np.stack([item, band])
-            order = np.lexsort((band, item))
-            key = key[:, order]
-            new = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-            n = np.diff(np.append(new, key.shape[1]))
-            i, b = key[0, new], key[1, new]
+            # A count by hashed key is never less than the count by key, so this drops only what is under the bound.
+            key = ((diagonal + shift * half) // (2 * half)) * items + item
+            cells = (1 << max(len(key).bit_length() + 1, 8)) - 1
+            hashed = (key * 0x9E3779B97F4A7C1 >> 20) & cells
+            key = key[np.bincount(hashed, minlength=cells + 1)[hashed] >= index.least[item]]
+            key, n = np.unique(key, return_counts=True)
+            b, i = key // items, key % items
             enough = n >= index.least[i]
             i, b = i[enough], b[enough]
             w = index.edits[i] + 1
