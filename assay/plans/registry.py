@@ -1,2 +1,6 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""All queries over the driver's tables, by name, and the SQL they are held against."""
+
+from assay.plans import reconciliation, relational
+
+QUERIES = relational.QUERIES | reconciliation.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL
