@@ -57,7 +57,7 @@ def _lengths(texts: pa.Array) -> pa.Array:
     return pc.fill_null(pc.binary_length(texts), 0)
 
 
-def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callable[[pa.RecordBatch], list[pa.Array]], most: int = SLICE_BYTES) -> DataFrame:
     """df with the arrays that work(slice) gives as further columns. Columns of the same names are replaced."""
     base = df.drop(*[f.name for f in fields if f.name in df.columns])
     schema = T.StructType([*base.schema.fields, *fields])
@@ -65,7 +65,7 @@ def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=names)
 
     return base.mapInArrow(run, schema)

@@ -42,7 +42,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.load(spark, sf_dir, "documents").select("doc_id", "text")
-    out = subword.decode(subword.encode(docs), match="text")
+    out = subword.encode(docs, check=True)
     return out.select("doc_id", F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids")).cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_xxhash64"), "lossless")
 
 

@@ -24,7 +24,21 @@ from pyspark.sql import types as T
 from assay.llm import kit, pieces
 
 ALPHA, SEED = 1.0, 11
-CACHED = 4_000_000
+CACHED = 2_000_000
+SLICE_BYTES = 2_000_000
+
+
+class _Ids(dict):
+    """Numbers of words in the order they were met; those met since `new` was emptied are in it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Lattices:
@@ -44,69 +58,68 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.first = np.zeros(0, dtype=np.int64)  # state of each word's start
-        self.last = np.zeros(0, dtype=np.int64)  # and of its end
-        self.key = np.zeros(0)  # state + cumulative share, by edge
-        self.piece = np.zeros(0, dtype=np.int64)  # id, or -1 - code point of an unknown character
-        self.back = np.zeros(0, dtype=np.int64)  # state the edge comes from
-        self.states = 0
+        self.ids = _Ids()
+        self.first = np.zeros(0, dtype=np.int32)  # state of each word's start
+        self.last = np.zeros(0, dtype=np.int32)  # and of its end
+        self.edge = np.zeros(0, dtype=np.int32)  # first edge of each state
+        self.share = np.zeros(0, dtype=np.float32)  # cumulative share of each edge within its state
+        self.piece = np.zeros(0, dtype=np.int32)  # id, or -1 - code point of an unknown character
+        self.back = np.zeros(0, dtype=np.int32)  # state the edge comes from
 
     def word_ids(self, words: list[str]) -> np.ndarray:
-        if self.states > CACHED:
+        if len(self.edge) > CACHED:
             self.clear()
-        ids, new = self.ids, []
-        for w in dict.fromkeys(words):
-            if w not in ids:
-                ids[w] = len(ids)
-                new.append(w)
-        if new:
-            self._add(new)
-        return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.ids.new:
+            self._add(self.ids.new)
+            self.ids.new = []
+        return out
 
     def _add(self, new: list[str]) -> None:
         """Forward filtering of new words, all of them side by side, place after place."""
-        sizes = np.array([len(w) for w in new], dtype=np.int64)
-        text = "".join(f"{w}\n" for w in new)  # no piece holds a line break
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        text = "\n".join(new) + "\n"  # no piece holds a line break
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        got = [(end, size, i) for end, (size, _, i) in self.v.automaton.iter(text)]
-        end, size, piece = np.array(got, dtype=np.int64).reshape(-1, 3).T
+        end, size, piece = self.v.matches(codes)
         inside = np.ones(len(codes), dtype=bool)
         inside[starts + sizes] = False
         lone = np.flatnonzero(inside & ~self.single[codes])
-        end = np.concatenate([end, lone]) + 1  # places of text; state p is the place before its p-th character
-        back = end - np.concatenate([size, np.ones(len(lone), dtype=np.int64)])
-        piece = np.concatenate([piece, -1 - codes[lone]])
+        if len(lone):
+            end, size, piece = np.concatenate([end, lone]), np.concatenate([size, np.ones_like(lone)]), np.concatenate([piece, -1 - codes[lone]])
+            order = np.argsort(end, kind="stable")
+            end, size, piece = end[order], size[order], piece[order]
+        end = end + 1  # places of text; state p is the place before its p-th character
+        back = end - size
         score = np.where(piece >= 0, self.score[np.maximum(piece, 0)], self.unknown)
-        word = np.searchsorted(starts, end - 1, side="right") - 1
-        order = np.lexsort((-piece, back, end))
-        order = order[np.argsort((end - starts[word])[order], kind="stable")]
-        end, back, piece, score, word = (x[order] for x in (end, back, piece, score, word))
-        depth = end - starts[word]
+        new_state = np.flatnonzero(np.diff(end, prepend=-1))  # edges are in the order of their ends, the longest first
+        n = np.diff(np.append(new_state, len(end)))
+        state = end[new_state]
+        depth = state - np.repeat(starts, sizes)  # every place inside a word ends an edge
         alpha = np.zeros(len(codes) + 1)
-        share = np.zeros(len(end))
-        cuts = np.append(np.flatnonzero(np.diff(depth, prepend=0)), len(depth))
+        by_depth = np.argsort(depth.astype(np.uint16) if depth.max(initial=0) < 1 << 16 else depth, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(depth[by_depth], prepend=0)), len(depth))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            x = alpha[back[a:b]] + score[a:b]
-            new_state = np.flatnonzero(np.diff(end[a:b], prepend=-1))
-            top = np.maximum.reduceat(x, new_state)
-            n = np.diff(np.append(new_state, b - a))
-            e = np.exp(x - np.repeat(top, n))
-            total = np.add.reduceat(e, new_state)
-            alpha[end[a:b][new_state]] = top + np.log(total)
-            c = np.cumsum(e)
-            before = np.repeat((c - e)[new_state], n)
-            share[a:b] = np.minimum((c - before) / np.repeat(total, n), 1.0)
-            share[a:b][np.append(new_state[1:], b - a) - 1] = 1.0
-        order = np.argsort(end, kind="stable")
-        base = self.states
-        self.key = np.concatenate([self.key, (base + end + share)[order]])
-        self.piece = np.concatenate([self.piece, piece[order]])
-        self.back = np.concatenate([self.back, (base + back)[order]])
-        self.first = np.concatenate([self.first, base + starts])
-        self.last = np.concatenate([self.last, base + starts + sizes])
-        self.states = base + len(codes) + 1
+            s = by_depth[a:b]
+            first = np.cumsum(n[s]) - n[s]
+            e = np.repeat(new_state[s] - first, n[s]) + np.arange(n[s].sum())
+            x = alpha[back[e]] + score[e]
+            top = np.maximum.reduceat(x, first)
+            alpha[state[s]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n[s])), first))
+        share = np.exp(alpha[back] + score - alpha[end])
+        for k in range(1, int(n.max(initial=1))):  # state by state, so a word's shares don't depend on others
+            at = new_state[n > k] + k
+            share[at] += share[at - 1]
+        share[new_state + n - 1] = np.inf
+        base, edges = len(self.edge), len(self.share)
+        edge = np.zeros(len(codes) + 1, dtype=np.int32)
+        edge[state] = new_state + edges
+        self.edge = np.concatenate([self.edge, edge])
+        self.share = np.concatenate([self.share, share.astype(np.float32)])
+        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
+        self.back = np.concatenate([self.back, (base + back).astype(np.int32)])
+        self.first = np.concatenate([self.first, (base + starts).astype(np.int32)])
+        self.last = np.concatenate([self.last, (base + starts + sizes).astype(np.int32)])
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the words one after another (unknown characters as bytes), and how many each word has."""
@@ -117,7 +130,11 @@ class Lattices:
         while len(live):
             draws = kit.mixed(draws)
             u = (draws >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.key, state + u, side="right")
+            edge = self.edge[state]
+            later = np.flatnonzero(self.share[edge] <= u)
+            while len(later):
+                edge[later] += 1
+                later = later[self.share[edge[later]] <= u[later]]
             steps.append((live, self.piece[edge]))
             state = self.back[edge]
             on = state > first
@@ -176,23 +193,31 @@ def byte_table(v: pieces.Vocabulary) -> list[bytes]:
     return table
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = pieces.DEFAULT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """df with piece_ids, a sampled segmentation of each text."""
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = pieces.DEFAULT, alpha: float = ALPHA, seed: int = SEED, check: bool = False) -> DataFrame:
+    """df with piece_ids, a sampled segmentation of each text; if check, with whether they decode to the text, as `lossless`."""
     kept: list[Lattices] = []
+    tables: list[list[bytes]] = []
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         if not kept:
             kept.append(Lattices(pieces.vocabulary(model), alpha))
+            tables.append(byte_table(kept[0].v))
         texts = batch.column(text).to_pylist()
         ids, n = encode_texts(batch.column(key).to_pylist(), texts, kept[0], seed)
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array([t is None for t in texts]))]
+        ids = ids.astype(np.int32)
+        out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array([t is None for t in texts]))]
+        if check:
+            same = [None if t is None else t == (decode_ids(ids[a:b].tolist(), tables[0]) if b > a else "") for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            out.append(pa.array(same, pa.bool_()))
+        return out
 
-    return kit.append(df, [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))], text, work)
+    fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *([T.StructField("lossless", T.BooleanType())] if check else [])]
+    return kit.append(df, fields, text, work, SLICE_BYTES)
 
 
-def decode(df: DataFrame, ids: str = "piece_ids", model: str = pieces.DEFAULT, to: str = "decoded", match: str | None = None) -> DataFrame:
-    """df with the text of each row's pieces; if match names a text column, with `lossless` too."""
+def decode(df: DataFrame, ids: str = "piece_ids", model: str = pieces.DEFAULT, to: str = "decoded") -> DataFrame:
+    """df with the text of each row's pieces."""
     tables: list[list[bytes]] = []
 
     def run(batches):
@@ -202,12 +227,8 @@ def decode(df: DataFrame, ids: str = "piece_ids", model: str = pieces.DEFAULT, t
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out = [None if x is None else decode_ids(x, tables[0]) if x else "" for x in part.column(ids).to_pylist()]
-                more = [pa.array(out, pa.string())]
-                if match:
-                    more.append(pa.array([a == b for a, b in zip(out, part.column(match).to_pylist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=names)
-
-    fields = [T.StructField(to, T.StringType()), *([T.StructField("lossless", T.BooleanType())] if match else [])]
-    base = df.drop(*[f.name for f in fields if f.name in df.columns])
-    names = [*base.columns, *[f.name for f in fields]]
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=names)
+
+    base = df.drop(*([to] if to in df.columns else []))
+    names = [*base.columns, to]
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(to, T.StringType())]))

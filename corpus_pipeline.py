@@ -35,7 +35,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text, which decode to it."""
-    out = subword.decode(subword.encode(docs.select("doc_id", "text")), match="text")
+    out = subword.encode(docs.select("doc_id", "text"), check=True)
     return out.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless")
 
 

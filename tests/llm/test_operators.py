@@ -294,7 +294,7 @@ def test_lm_scores_match_brute_force(spark):
 def test_sampling_is_lossless_and_reproducible(spark):
     texts = [*TEXTS, None, "", " ", "\n", "a▁b ▁", "\0zero", "word " * 5000, "no piece: \U0001f9ff\u1234"]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(None, "x y", 5)], "doc_id long, text string, decoded int")
-    out = subword.decode(subword.encode(df), match="text").collect()
+    out = subword.decode(subword.encode(df, check=True)).collect()
     assert len(out) == len(texts) + 1 and all(r.decoded == r.text for r in out) and all(r.lossless or r.text is None for r in out)
     again = {r.doc_id: r.piece_ids for r in subword.encode(df.repartition(7).select("doc_id", "text")).collect()}
     assert all(again[r.doc_id] == r.piece_ids for r in out)
