@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the orthography.
 STOPS_OF_NASAL = {"ङ": "कखगघ", "ञ": "चछजझ", "ण": "टठडढ", "न": "तथदध", "म": "पफबभ"}
@@ -48,7 +49,7 @@ def match_key_text(s: str | None) -> str:
     return s
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfc(s: pa.Array) -> pa.Array:
     """Canonical composition; Spark has no function for it."""
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())

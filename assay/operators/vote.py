@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _table(a: str, b: str) -> list[list[int]]:
@@ -50,6 +51,6 @@ def column_vote(texts: list[str], weights: list[float] | None = None) -> str:
     return "".join(first(b) + a for b, a in zip(between, [*map(first, at), ""], strict=True))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def voted(texts: pa.Array, weights: pa.Array) -> pa.Array:
     return pa.array([column_vote([x or "" for x in t], w) for t, w in zip(texts.to_pylist(), weights.to_pylist(), strict=True)], pa.string())
