@@ -137,7 +137,8 @@ def _align(text: np.ndarray, base: np.ndarray, width: np.ndarray, patterns: np.n
     within = offset[None, :] < width[:, None]
     dist = np.where(free & within, np.int32(0), big)
     done, where = np.full(n, big), np.zeros(n, dtype=np.int64)
-    pad = int(max(-base.min(), 0, (base + width + sizes).max() - len(text))) + 1
+    # All bands go on to the longest pattern's end.
+    pad = int(max(-base.min(), 0, (base + width).max() + sizes.max() - len(text))) + 1
     padded = np.concatenate([np.full(pad, 0xFFFFFFFD, np.uint32), text, np.full(pad, 0xFFFFFFFD, np.uint32)])
     at = base[:, None] + offset + pad
     at[~within] = 0

@@ -387,6 +387,12 @@ def test_matches_are_those_within_the_edit_budget(spark):
     assert decontaminate.keep_clean(df, b).columns == ["doc_id", "text", "matches"] or True
 
 
+def test_short_passage_at_the_end_beside_a_long_one():
+    long, short = " ".join(f"word{i * 7919 % 1009}" for i in range(200)), "the quick brown fox jumps over it"
+    text = f"{long} and then {short}"
+    assert decontaminate.search([text], decontaminate.build([(1, long), (2, short)])) == [[(1, 0, len(long), 0), (2, len(text) - len(short), len(text), 0)]]
+
+
 def test_benchmark_in_parts_finds_the_same(spark, sf_dir):
     docs, b = kit.load(spark, sf_dir, "documents"), kit.load(spark, sf_dir, "benchmark")
     whole = [m for t in docs.toPandas().text for m in decontaminate.search([t], decontaminate.parts(b)[0])[0]]
