@@ -259,6 +259,8 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", q: int = Q, bu
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, text: str = "text", q: int = Q, budget: float = BUDGET) -> DataFrame:
-    """The rows of df without any match."""
-    out = find(df, benchmark, text, q, budget).where(~F.col("contaminated"))
-    return out.drop(*[c for c in ("n_matches", "contaminated", "matches") if c not in df.columns])
+    """The rows of df without any match, as they are: columns named like the results keep their values."""
+    results = ("n_matches", "contaminated", "matches")
+    mine = {c: f"_own_{c}" for c in results if c in df.columns}
+    out = find(df.withColumnsRenamed(mine), benchmark, text, q, budget).where(~F.col("contaminated")).drop(*results)
+    return out.withColumnsRenamed({new: c for c, new in mine.items()})
