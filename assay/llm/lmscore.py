@@ -29,6 +29,8 @@ from assay.llm import kit
 
 WORDS, BIGRAMS = 1 << 18, 1 << 20
 PRIOR = 5.0
+#: Ids of chosen rows that a task may hold.
+MAX_IDS = 2_000_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +121,7 @@ def score(df: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_target(df: DataFrame, labels: DataFrame, key: str = "doc_id", chosen: str = "quality = 1", to: str = "_target") -> DataFrame:
-    """df with whether the labels choose the row."""
-    ids = labels.where(F.expr(chosen) & F.col(key).isNotNull()).select(F.col(key).alias("_chosen")).distinct()
+    """df with whether the labels choose the row. Up to MAX_IDS ids are shipped, so texts stay where they are; more are joined by a shuffle."""
+    ids = kit.cut(labels.where(F.expr(chosen) & F.col(key).isNotNull()).select(F.col(key).alias("_chosen")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
     return df.join(ids, df[key] == ids["_chosen"], "left").withColumn(to, F.col("_chosen").isNotNull()).drop("_chosen")
