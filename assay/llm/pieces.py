@@ -76,7 +76,7 @@ class Vocabulary:
 
     def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the last code point, lengths and ids of all pieces in a text, by end, the longest first."""
-        c = codes.astype(np.uint64)
+        c = np.where(codes == 0, 0x110000, codes).astype(np.uint64)  # zeros would hash like nothing before a piece; no piece holds one
         h, found = np.zeros(len(c), dtype=np.uint64), []
         for k in range(min(self.longest, len(c))):
             h = h[: len(c) - k] * _PRIME + c[k:]
