@@ -2,7 +2,8 @@
 
 evidence has one row a hypothesis: case_id, clip_id, seq (order of the clip in its case), wseq (order of the hypothesis),
 speaker, synthetic, snr_db, witness, text, conf. Cases are small (tens of clips) and many, so every stage is an equi join
-or an aggregate on the case; names are sounded out once each, whatever the number of cases they are in.
+or an aggregate on the case; names are sounded out once each, whatever the number of cases they are in. Stages that later
+ones read several times are cut, so they run once and the plan's size doesn't multiply.
 
 Decisions where the inputs are odd: only clips with text from a weighted witness are usable; a case without any gets a row
 with an error; ties always go to what came first (seq); the best text of a clip may be empty only if `skip_empty_best` is off.
@@ -18,6 +19,7 @@ from assay.functions import devanagari as dv
 from assay.functions import phonology
 from assay.operators import ranking
 from assay.operators.vote import voted
+from assay.sources.shared import cut
 
 WITNESS_WEIGHTS = {"vakyansh": 1.0, "indicw2v": 0.8}
 SUPPORTS = 0.55
@@ -67,21 +69,21 @@ def _candidates(hyps: DataFrame, votes: DataFrame, existing: DataFrame | None, g
         order = W.partitionBy("case_id").orderBy("x.p", "x.s")
         return once.select("case_id", "text", F.col("x.origin").alias("origin"), F.row_number().over(order).alias("place"))
 
-    first = numbered(found)
-    first = first.join(sounded(first, "text").select("text", "phones"), "text")
+    first = cut(numbered(found))
+    first = cut(first.join(sounded(first, "text").select("text", "phones"), "text"))
     if gazetteer is None:
         return first
     names = gazetteer.select(dv.normalise(F.col("name")).alias("name")).distinct()
     near = neighbours(first, sounded(names, "name"))
-    every = numbered(found.unionByName(row(near, "text", "gazetteer", 3, F.col("rank"))))
-    return every.join(sounded(every, "text").select("text", "phones"), "text")
+    every = cut(numbered(found.unionByName(row(near, "text", "gazetteer", 3, F.col("rank")))))
+    return cut(every.join(sounded(every, "text").select("text", "phones"), "text"))
 
 
 def score(candidates: DataFrame, hyps: DataFrame, clips: DataFrame) -> DataFrame:
     """Support of each candidate: weighted mean over clips of exp(-4 x mean distance to the clip's hypotheses)."""
     heard = hyps.where("norm <> ''").select("case_id", "clip_id", "norm", "ww")
     heard = heard.join(sounded(heard, "norm").select("norm", F.col("phones").alias("hphones")), "norm")
-    pairs = candidates.select("case_id", "text", "phones").join(heard, "case_id")
+    pairs = cut(candidates.select("case_id", "text", "phones").join(heard, "case_id"))
     distinct = pairs.select("text", "norm", "phones", "hphones").distinct().withColumn("d", phonology.phone_distance("phones", "hphones")).select("text", "norm", "d")
     per_clip = pairs.select("case_id", "text", "norm", "clip_id", "ww").join(distinct, ["text", "norm"]).groupBy("case_id", "text", "clip_id").agg((F.sum(F.col("ww") * F.col("d")) / F.sum("ww")).alias("d"))
     sims = per_clip.join(clips.select("case_id", "clip_id", "seq", "weight"), ["case_id", "clip_id"]).withColumn("sim", F.exp(-4.0 * F.col("d")))
@@ -124,27 +126,28 @@ def reconcile(evidence: DataFrame, existing: DataFrame | None = None, gazetteer:
     """One record a case. existing: case_id, hi, en. gazetteer: name. exceptions: name, form, reason."""
     spark = evidence.sparkSession
     ww = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    hyps = evidence.where(F.col("witness").isin(*weights)).withColumn("norm", dv.normalise(F.col("text"))).withColumn("ww", F.element_at(ww, F.col("witness")))
+    hyps = cut(evidence.where(F.col("witness").isin(*weights)).withColumn("norm", dv.normalise(F.col("text"))).withColumn("ww", F.element_at(ww, F.col("witness"))))
     clips = clip_weights(hyps)
-    clips = clips.withColumn("best", F.col("best_full" if skip_empty_best else "best")).withColumn("key", dv.match_key(F.col("best")))
+    clips = cut(clips.withColumn("best", F.col("best_full" if skip_empty_best else "best")).withColumn("key", dv.match_key(F.col("best"))))
     hyps = hyps.join(clips.select("case_id", "clip_id"), ["case_id", "clip_id"], "left_semi")
     ordered = F.sort_array(F.collect_list(F.struct("seq", "best", "weight")))
-    votes = clips.groupBy("case_id").agg(ordered.alias("x")).select("case_id", dv.normalise(voted(F.col("x.best"), F.col("x.weight"))).alias("voted"))
+    votes = cut(clips.groupBy("case_id").agg(ordered.alias("x")).select("case_id", dv.normalise(voted(F.col("x.best"), F.col("x.weight"))).alias("voted")))
     ranked = merge_spacing(score(_candidates(hyps, votes, existing, gazetteer), hyps, clips), clips)
     order = W.partitionBy("case_id").orderBy(F.desc("support"), "place")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("second", F.lead("support", 1, 0.0).over(order))
     listed = F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= 8, F.struct("rank", "text", "origin", "support", "supporters", F.map_entries("sims").alias("s"))))), lambda c: F.struct(c["text"].alias("text"), c["origin"].alias("origin"), c["support"].alias("support"), c["supporters"].alias("supporters"), F.map_from_entries(c["s"]).alias("sims")))
     top = ranked.groupBy("case_id").agg(F.min_by(F.struct("text", "support", (F.col("support") - F.col("second")).alias("margin")), "rank").alias("top"), listed.alias("candidates"))
-    top = top.withColumn("devanagari", F.col("top.text")).withColumn("top_key", dv.match_key(F.col("devanagari")))
+    top = cut(top.withColumn("devanagari", F.col("top.text")).withColumn("top_key", dv.match_key(F.col("devanagari"))))
     who = F.when(~F.col("synthetic"), F.coalesce(F.nullif("speaker", F.lit("")), "clip_id"))
     total = F.coalesce(F.nullif(F.sum("weight"), F.lit(0.0)), F.lit(1.0))
-    facts = clips.join(top.select("case_id", "top_key"), "case_id").groupBy("case_id").agg(
+    judged = cut(clips.join(top.select("case_id", "top_key"), "case_id"))
+    facts = judged.groupBy("case_id").agg(
         (F.sum(F.when(F.col("key") == F.col("top_key"), F.col("weight")).otherwise(0.0)) / total).alias("agree"), F.countDistinct(who).alias("speakers"), F.count("*").alias("clips"), F.avg("weight").alias("mean_weight"),
         F.transform(F.sort_array(F.collect_list(F.struct("seq", "best"))), lambda s: s["best"]).alias("per_clip_best"), total.alias("total"),
     )
-    groups = clips.join(top.select("case_id", "top_key"), "case_id").where("key <> top_key").groupBy("case_id", "key").agg(ordered.alias("x"), F.sum("weight").alias("w"), F.countDistinct(who).alias("speakers"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "clip_id"))), lambda s: s["clip_id"]).alias("clips"))
-    groups = groups.where("speakers >= 2").withColumn("text", dv.normalise(voted(F.col("x.best"), F.col("x.weight"))))
-    tops = sounded(top, "devanagari")
+    groups = judged.where("key <> top_key").groupBy("case_id", "key").agg(ordered.alias("x"), F.sum("weight").alias("w"), F.countDistinct(who).alias("speakers"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "clip_id"))), lambda s: s["clip_id"]).alias("clips"))
+    groups = cut(groups.where("speakers >= 2").withColumn("text", dv.normalise(voted(F.col("x.best"), F.col("x.weight")))))
+    tops = cut(sounded(top, "devanagari"))
     variants = groups.join(sounded(groups, "text"), "text").join(top.select("case_id", "devanagari"), "case_id").join(tops.select("devanagari", F.col("phones").alias("tp")), "devanagari")
     variants = variants.where(phonology.phone_distance("tp", "phones") >= 0.04).join(facts.select("case_id", "total"), "case_id")
     nested = F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("o"), F.element_at("x.seq", 1).alias("f"), F.struct(F.col("text").alias("devanagari"), "ipa", F.col("scheme").alias("roman"), "clips", "speakers", F.round(F.col("w") / F.col("total"), 3).alias("share")).alias("v"))))
