@@ -121,10 +121,10 @@ def test_plans_prefer_groups_already_read(spark):
 
 def test_evaluation(spark):
     ev = reconciliation.evidence(spark)
-    truth = spark.createDataFrame([(1, "देहरादून"), (2, "अल्मोड़ा"), (3, "कोटद्वार"), (4, "गलत"), (6, "कुछ")], "case_id long, name string")
-    one = evaluation.single_clips(ev, truth).first()
+    truth = spark.createDataFrame(reconciliation.TRUTH, "case_id long, name string")
+    one = reconciliation.QUERIES["single_clip_rates"](spark, "").first()
     assert one.cases == 4 and one.oracle == 0.75 and one.random == pytest.approx((0.5 + 0.6 + 1 + 0) / 4) and one.clearest == 0.5
-    bands = {r.band: (r.n, r.exact) for r in evaluation.by_band(rc.reconcile(ev), truth).collect()}
+    bands = {r.band: (r.n, r.exact) for r in reconciliation.QUERIES["exact_by_band"](spark, "").collect()}
     assert bands["all"] == (4, 0.75) and sum(n for b, (n, _) in bands.items() if b != "all") == 4
     got = {r.k: (r.n, r.exact) for r in evaluation.sweep(ev.where("case_id IN (1, 3)"), truth, (1, 3, 4), 2).collect()}
     assert got[1][0] == 4 and got[3][0] == 4 and got[4] == (2, 1.0)
