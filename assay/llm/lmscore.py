@@ -1,13 +1,15 @@
 """Cross-entropy difference of two n-gram models over one vocabulary.
 
-The vocabulary is `WORDS` cells into which lower-case words are hashed; bigrams are hashed into `BIGRAMS` cells. The target
-model counts the chosen rows, the background model all rows, with the same orders, cells and smoothing: a bigram's relative
-frequency and a word's add-one frequency are mixed by the Witten-Bell-like weight n(v) / (n(v) + `PRIOR`). A document's
-score is the mean over its tokens of the loss under the target less the loss under the background: low is like the target.
+The vocabulary is the lower-case words of the whole corpus, and every bigram is counted for itself: keys are hashes of 63
+bits (two of a hundred million keys are one with a chance of 1 in 2,000). The target model counts the chosen rows, the
+background model all rows, with the same orders, keys and smoothing: a bigram's relative frequency and a word's add-one
+frequency are mixed by the Witten-Bell-like weight n(v) / (n(v) + `PRIOR`). A document's score is the mean over its tokens of
+the loss under the target less the loss under the background: low is like the target.
 
-Every task counts its rows into the cells and sends the cells that have something, so the corpus is counted whole and
-what is gathered grows with it; the summed model has at most WORDS + BIGRAMS rows, which is its size bound when it is
-shipped.
+Counts grow with the corpus and are never gathered. Rows are dealt into parts by a hash of themselves. A part sends its
+distinct keys with its counts, sorted, to the buckets of the keys; a bucket adds up what all parts have sent and answers each
+part in the order it asked, so the answers hold counts alone; the part then finds its keys again in its own texts. Parts and
+buckets are `SPLIT` to a shuffle partition, which bounds both; rows that are alike in all columns share a part.
 
 Cases: a null or wordless text has 0 tokens and null losses; rows whose label is missing are background alone; a label
 that is repeated counts if any of its rows is chosen; repeated rows are counted each; without target rows the target model
@@ -27,97 +29,213 @@ from pyspark.sql import types as T
 
 from assay.llm import kit
 
-WORDS, BIGRAMS = 1 << 18, 1 << 20
 PRIOR = 5.0
 #: Ids of chosen rows that a task may hold.
 MAX_IDS = 2_000_000
+#: Parts, and buckets of keys, for each shuffle partition.
+SPLIT = 2
+#: Texts of a part are read in slices of so many code units; a part rarely has more.
+PART_BYTES = 16_000_000
+#: What stands before the first word of a text. Keys of words are odd, those of bigrams and this one are even.
+START = np.uint64(0)
+
+ASKED = "_bucket int, _part int, keys binary, target binary, background binary"
+ANSWERED = "_part int, _bucket int, n int, target binary, background binary, words long, target_tokens long, background_tokens long"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word cells of all texts one after another, and how many each has."""
+    """Word keys of all texts one after another, and how many each has."""
     split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     flat = split.flatten()
     full = np.asarray(pc.not_equal(flat, "")) if len(flat) else np.zeros(0, dtype=bool)
     n = np.asarray(pc.list_value_length(split)).astype(np.int64)
     of = np.repeat(np.arange(len(texts)), n)[full]
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    cells = np.array([cell(w) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-    return cells[np.asarray(coded.indices)] if len(cells) else cells, np.bincount(of, minlength=len(texts))
+    keys = np.array([word_key(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    return keys[np.asarray(coded.indices)] if len(keys) else keys, np.bincount(of, minlength=len(texts))
 
 
-def cell(word: str) -> int:
+def word_key(word: str) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word, 1) % WORDS
+    return xxhash.xxh64_intdigest(word, 1) | 1
 
 
 def bigrams(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each word with the word before it, and that word's cell; -1 at the start of a text."""
+    """Key of each word with the word before it, and that word's key; START at the start of a text."""
     first = (np.cumsum(n) - n)[n > 0]
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    before[first] = -1
-    pair = (kit.mixed((before + 1).astype(np.uint64) * np.uint64(WORDS + 1) + words.astype(np.uint64)) % np.uint64(BIGRAMS)).astype(np.int64)
-    return pair, before
+    before[first] = START
+    return kit.mixed(kit.mixed(before) ^ words) & ~np.uint64(1), before
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, the place of each key among them, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return keys[at], place, *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def read(rows: pa.Table | pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a table with the keys of their words and how many words each text has."""
+    for batch in rows.to_batches() if isinstance(rows, pa.Table) else [rows]:
+        for part in kit.slices(batch, text, PART_BYTES):
+            yield part, *tokens(part[text])
+
+
+def keys_of(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.concatenate([words, bigrams(words, n)[0], np.full(int((n > 0).sum()), START)])
+
+
+def gathered(rows: pa.Table | pa.RecordBatch, text: str, target: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a table's texts in order, and their counts in chosen texts and in all."""
+    found = []
+    for part, words, n in read(rows, text):
+        keys, every = distinct(keys_of(words, n))
+        counts = np.zeros(len(keys), dtype=np.int64)
+        if target is not None:
+            on = np.asarray(pc.fill_null(part[target], False))
+            own, times = distinct(keys_of(words[np.repeat(on, n)], n[on]))
+            counts[np.searchsorted(keys, own)] = times
+        found.append((keys, counts, every))
+    if len(found) == 1:
+        return found[0]
+    none = np.zeros(0, dtype=np.int64)
+    keys, _, *sums = summed(*(np.concatenate(x) for x in zip((none.view(np.uint64), none, none), *found, strict=True)))
+    return keys, *sums
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte of all, compressed: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the keys of each bucket begin (one entry more than buckets): each has an equal range of keys."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def asked(part: int | None, keys: np.ndarray, target: np.ndarray, background: np.ndarray, buckets: int) -> pa.Table:
+    """A row for each bucket, also if it has no key of this part. Without a part the counts are given and nothing is asked."""
+    at = bounds(keys, buckets)
+    cut = lambda x, how: pa.array([packed(how(x[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    as_is = lambda x: x
+    values = [pa.array(np.arange(buckets, dtype=np.int32)), pa.array([part] * buckets, pa.int32()), cut(keys, lambda x: np.diff(x, prepend=np.uint64(0))), cut(target, as_is), cut(background, as_is)]
+    return pa.Table.from_arrays(values, names=["_bucket", "_part", "keys", "target", "background"])
+
+
+def answer(rows: pa.Table) -> pa.Table:
+    """What a bucket says to each part that asked."""
+    keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+    given = [np.concatenate([unpacked(x) for x in rows[name].to_pylist()]).view(np.int64) for name in ("target", "background")]
+    every, place, target, background = summed(np.concatenate(keys), *given)
+    word = (every & np.uint64(1)).astype(bool)
+    totals = [int((background[word] > 0).sum()), int(target[word].sum()), int(background[word].sum())]
+    ends = np.cumsum([len(k) for k in keys])
+    out = []
+    for bucket, part, end, own in zip(rows["_bucket"].to_pylist(), rows["_part"].to_pylist(), ends, keys, strict=True):
+        if part is not None:
+            at = place[end - len(own) : end]
+            out.append((part, bucket, len(own), packed(target[at]), packed(background[at]), *totals))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in ANSWERED.split(", ")]
+    return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+class Model:
+    """Both models as far as a part has keys."""
+
+    def __init__(self, keys: np.ndarray, answers: pa.Table, buckets: int) -> None:
+        told, at = sorted(answers.to_pylist(), key=lambda r: r["_bucket"]), bounds(keys, buckets)
+        if [r["n"] for r in told] != np.diff(at).tolist():
+            raise ValueError("the answers of the buckets don't fit the part's keys")
+        self.keys, self.word = keys, np.flatnonzero(keys & np.uint64(1))
+        self.counts = [np.concatenate([unpacked(r[name]) for r in told]).view(np.int64).astype(np.float64) for name in ("target", "background")]
+        self.used = max(sum(r["words"] for r in told), 1)
+        self.total = [sum(r[name] for r in told) for name in ("target_tokens", "background_tokens")]
+
+    def scores(self, words: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        of = np.repeat(np.arange(len(n)), n)
+        pair = np.searchsorted(self.keys, bigrams(words, n)[0])
+        word = self.word[np.searchsorted(self.keys[self.word], words)] if len(words) else np.zeros(0, dtype=np.int64)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[(np.cumsum(n) - n)[n > 0]] = 0  # START is the smallest key
+        mean = []
+        for k in (0, 1):
+            low = (self.counts[k][word] + 1.0) / (self.total[k] + self.used + 1.0)
+            seen = self.counts[k][before]
+            high = np.minimum(self.counts[k][pair] / np.maximum(seen, 1.0), 1.0)
+            weight = seen / (seen + PRIOR)
+            mean.append(np.bincount(of, weights=-np.log(weight * high + (1 - weight) * low), minlength=len(n)) / np.maximum(n, 1))
+        return [pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), mask=n == 0) for x in (mean[0], mean[1], mean[0] - mean[1]))]
 
 
 def count(df: DataFrame, text: str, target: str) -> DataFrame:
-    """(cell, target, background) of the cells that occur; bigram cells follow word cells, then starts of texts."""
-    size = WORDS + BIGRAMS + 1
+    """(key, target, background) of all words, bigrams and starts of texts that occur, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, size), dtype=np.int64)
         for batch in batches:
-            for part in kit.slices(batch, "_text"):
-                words, n = tokens(part.column(0))
-                pair, _ = bigrams(words, n)
-                chosen = np.repeat(np.asarray(pc.fill_null(part.column(1), False)), n)
-                for k, on in ((0, chosen), (1, slice(None))):
-                    sums[k] += np.bincount(words[on], minlength=size)
-                    sums[k] += np.bincount(pair[on] + WORDS, minlength=size)
-                sums[1, -1] += int((n > 0).sum())
-                sums[0, -1] += int((np.asarray(pc.fill_null(part.column(1), False)) & (n > 0)).sum())
-        at = np.flatnonzero(sums[1])
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[0, part]), pa.array(sums[1, part])], names=["cell", "target", "background"])
+            keys, chosen, every = gathered(batch, "_text", "_target")
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(chosen), pa.array(every)], names=["key", "target", "background"])
 
     rows = df.select(F.col(text).alias("_text"), F.col(target).alias("_target"))
-    return rows.mapInArrow(run, "cell int, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return rows.mapInArrow(run, "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-class Model:
-    """Two models over one vocabulary, as arrays of counts."""
-
-    def __init__(self, counts: pa.Table) -> None:
-        self.counts = np.zeros((2, WORDS + BIGRAMS + 1), dtype=np.int64)
-        at = np.asarray(counts["cell"])
-        self.counts[0, at], self.counts[1, at] = np.asarray(counts["target"]), np.asarray(counts["background"])
-        self.used = max(int((self.counts[1, :WORDS] > 0).sum()), 1)
-
-    def loss(self, words: np.ndarray, pair: np.ndarray, before: np.ndarray, k: int) -> np.ndarray:
-        one, two, starts = self.counts[k, :WORDS], self.counts[k, WORDS:-1], self.counts[k, -1]
-        low = (one[words] + 1.0) / (one.sum() + self.used + 1.0)
-        seen = np.where(before < 0, starts, one[np.maximum(before, 0)]).astype(np.float64)
-        high = np.minimum(two[pair] / np.maximum(seen, 1.0), 1.0)
-        weight = seen / (seen + PRIOR)
-        return -np.log(weight * high + (1 - weight) * low)
-
-
-def score(df: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_tokens, ce_target, ce_background and ce_difference."""
-    shared = df.sparkSession.sparkContext.broadcast(Model(model.toArrow()))
-
-    def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        words, n = tokens(batch.column(text))
-        pair, before = bigrams(words, n)
-        of = np.repeat(np.arange(len(n)), n)
-        none = n == 0
-        mean = [np.bincount(of, weights=shared.value.loss(words, pair, before, k), minlength=len(n)) / np.maximum(n, 1) for k in (0, 1)]
-        return [pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))]
-
+def score(df: DataFrame, model: DataFrame | None = None, text: str = "text", target: str | None = None) -> DataFrame:
+    """df with n_tokens, ce_target, ce_background and ce_difference, by a model of count() or, without one, by the counts of df itself."""
+    pieces = SPLIT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alone = model is None
+    own = target if alone else None
     fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "ce_difference"))]
-    return kit.append(df, fields, text, work)
+    base = df.drop(*[f.name for f in fields if f.name in df.columns])
+    plain = [F.col(f"`{f.name}`") for f in base.schema.fields if f.name == text or isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    placed = base.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(pieces)).cast("int"))
+    kept = T.StructType([*base.schema.fields, *fields])
+    names = base.columns
+
+    def ask(rows: pa.Table) -> pa.Table:
+        keys, chosen, every = gathered(rows, text, own)
+        return asked(rows["_part"][0].as_py(), keys, chosen, every if alone else np.zeros_like(every), pieces)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, _, chosen, every = summed(np.asarray(batch["key"]).view(np.uint64), np.asarray(batch["target"]), np.asarray(batch["background"]))
+            yield from asked(None, keys, chosen, every, pieces).to_batches()
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = list(read(rows, text))
+        keys = distinct(np.concatenate([distinct(keys_of(words, n))[0] for _, words, n in parts]))[0]
+        told = Model(keys, answers, pieces)
+        out = [pa.RecordBatch.from_arrays([*(part[c] for c in names), *told.scores(words, n)], names=[*names, *(f.name for f in fields)]) for part, words, n in parts]
+        return pa.Table.from_batches(out)
+
+    sent = placed.groupBy("_part").applyInArrow(ask, ASKED)
+    if not alone:
+        sent = sent.union(model.select("key", "target", "background").mapInArrow(give, ASKED))
+    answers = sent.groupBy("_bucket").applyInArrow(answer, ANSWERED)
+    return placed.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(finish, kept)
 
 
 def with_target(df: DataFrame, labels: DataFrame, key: str = "doc_id", chosen: str = "quality = 1", to: str = "_target") -> DataFrame:

@@ -287,6 +287,37 @@ def test_lm_scores_match_brute_force(spark):
         t, b = (np.mean([loss(p, x, k) for p, x in zip([None, *w], w)]) for k in (0, 1))
         assert r.ce_target == pytest.approx(t) and r.ce_background == pytest.approx(b) and r.ce_difference == pytest.approx(t - b)
 
+def test_lm_counts_are_exact_on_a_whole_table(spark):
+    """sf0.1 has more distinct words and bigrams than any fixed number of cells of the size used before."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = [(r.text or "").lower().split() for r in docs.collect()]
+    words, pairs = Counter(), Counter()
+    for w in rows:
+        words.update(w)
+        pairs.update(zip([None, *w], w))
+    model = lmscore.count(lmscore.with_target(docs, labels), "text", "_target").toPandas()
+    key = model["key"].to_numpy().view(np.uint64)
+    odd = (key & np.uint64(1)).astype(bool)
+    every = model["background"].to_numpy()
+    assert odd.sum() == len(words) and (~odd).sum() == len(pairs) + 1
+    assert sorted(every[odd]) == sorted(words.values())
+    assert sorted(every[~odd]) == sorted([*pairs.values(), sum(1 for w in rows if w)])
+    by_key = dict(zip(key.tolist(), every.tolist()))
+    assert all(by_key[lmscore.word_key(w)] == n for w, n in words.items())
+
+
+def test_lm_scores_of_a_table_by_its_own_counts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    marked = lmscore.with_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    cols = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"]
+    own = rows_of(lmscore.score(marked, target="_target"), *cols)
+    assert len(own) == docs.count() and own == rows_of(lmscore.score(docs, lmscore.count(marked, "text", "_target")), *cols)
+    empty = docs.limit(0).withColumn("_target", F.lit(True))
+    assert lmscore.score(empty, target="_target").count() == 0
+
 
 # 6
 
