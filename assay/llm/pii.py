@@ -5,16 +5,19 @@ matches; running sums of their lengths are the places, in code points. The expre
 neither recurses nor starts anew inside a run (separators inside a run become a marker character first); the matches are
 the same.
 
-Bootstrapping: a cue is a word followed by `:`, `=` or `#` before a value. Values that are base entities are the seeds.
-Over the graph of cues and values, a cue's confidence is the mean score of its distinct values; towards a cue, a value
-scores the mean confidence of its other cues, so no cue vouches for itself (seeds stay 1); this is iterated `ROUNDS`
-times. Cues with a confidence of at least
-`CONFIDENCE` over at least `SUPPORT` distinct seeds are the learned patterns, and identifier-like values (six characters
-with a digit, or more) after them are new spans of kind `id`. Base spans always stay.
+Bootstrapping: items are the base spans (overlapping ones as one) and, outside them, identifier-like values (six characters
+with a digit, or more). The patterns of an item are the word before it and the word after it, each with the signs between, in
+lower case and with every digit as 0, so that numbers count by their shape; spaces, quotes, `+` and `@` don't count. Over the
+graph of patterns and values, a pattern's confidence is the sum of the scores of its distinct values, divided by their number
+and that of all places in the texts where the pattern is next to something else. Base entities score 1. Towards a pattern,
+another value scores the greatest confidence of its other patterns that are trusted, so none vouches for itself. A pattern is
+trusted with a confidence of at least `CONFIDENCE` and `SUPPORT` distinct values that score as much; so values found in one
+round support further patterns in the next. Rounds end when the trusted patterns stay the same, or after `ROUNDS`. Other items
+next to a trusted pattern are new spans of kind `id`. Base spans always stay.
 
 Cases: a null text counts as empty (no spans); overlapping spans of different kinds are all reported; equal starts are in
 the order of the kinds; rows that repeat get the same answer; empty tables work; columns named like the results are
-replaced. Up to `MAX_PATTERNS` learned cues are put into the plan; beyond that they are joined.
+replaced. Up to `MAX_PATTERNS` learned patterns are put into the plan; beyond that they are joined.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from assay.llm import kit
 
 KINDS = ["email", "ip", "card", "phone", "id"]
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
+ROUNDS, CONFIDENCE, SUPPORT = 10, 0.8, 3
 MAX_PATTERNS = 5_000
+#: Patterns that a task may hold while it counts them.
+MAX_SHIPPED = 200_000
 #: Stands for a separator inside a run; where it is in a text itself, it is read as a character of no class.
 MARK, NEUTRAL = "\x01", "|"
 
@@ -36,8 +41,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x01]+"
 CARD_GAP = r"(?<=[0-9])[ -](?=[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CUE = r"(?<![A-Za-z_-])[A-Za-z][A-Za-z_-]{0,30}[ ]{0,2}[:=#][ ]{0,2}[\"'<(]?[A-Za-z0-9@+][A-Za-z0-9@._%+-]*+"
-CUE_HEAD = r"^[A-Za-z][A-Za-z_-]{0,30}[ ]{0,2}[:=#][ ]{0,2}[\"'<(]?"
+VALUE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@+][A-Za-z0-9@._%+-]{5,}+"
+#: Stands for an item; where it is in a text itself, it is read as a character of no class.
+ITEM = "\x02"
+WORD = r"[\p{L}\p{N}_-]++|\x02"
+#: Signs that don't count between a word and an item.
+SILENT = " \t\n\r\"'<(+@"
 
 SPAN = "array<struct<start:int,k:int,end:int>>"
 
@@ -86,7 +95,7 @@ def _spans(found: Column, kind: str, valid=None) -> Column:
 
 
 def with_base(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with _base (sorted base spans) and _cues (cue, value, place and whether the value is a seed)."""
+    """df with _base (sorted base spans)."""
     t = F.coalesce(F.col(text), F.lit(""))
     plain = F.translate(t, MARK, NEUTRAL)
     out = df.withColumns(
@@ -95,55 +104,109 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
             "_ip": _if(t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), _placed(t, IP)),
             "_card": _if(t.rlike(r"(?:[0-9][ -]?){13}[0-9]"), _placed(F.regexp_replace(plain, CARD_GAP, MARK), CARD)),
             "_phone": _if(F.contains(t, F.lit("+")), _placed(t, PHONE)),
-            "_cue": _if(t.rlike("[:=#]"), _placed(t, CUE)),
         }
     )
     byte_parts = lambda v: F.forall(F.split(v, r"\."), _byte)
     card = lambda v: F.length(_digits(v)).between(14, 19) & luhn(F.when(F.length(_digits(v)).between(14, 19), _digits(v)).otherwise("0"))
     phone = lambda v: F.length(_digits(v)).between(10, 15)
     every = F.concat(_spans(F.col("_email"), "email"), _spans(F.col("_ip"), "ip", byte_parts), _spans(F.col("_card"), "card", card), _spans(F.col("_phone"), "phone", phone))
-    out = out.withColumn("_base", F.array_sort(every))
+    return out.withColumn("_base", F.array_sort(every)).drop("_email", "_ip", "_card", "_phone")
 
-    def cue(x: Column) -> Column:
-        head = F.regexp_extract(x["value"], CUE_HEAD, 0)
-        start = x["start"] + F.length(head)
-        return F.struct(
-            F.lower(F.regexp_extract(x["value"], r"^[A-Za-z_-]+[ ]*[:=#]", 0)).alias("cue"), F.substring(x["value"], F.length(head) + 1, F.length(x["value"])).alias("value"),
-            start.alias("start"), x["end"].alias("end"), F.exists(F.col("_base"), lambda b: b["start"] == start).alias("seed"),
-        )
-
-    return out.withColumn("_cues", F.transform("_cue", cue)).drop("_email", "_ip", "_card", "_phone", "_cue")
 
+def with_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """df, which has _base, with _found (items: start, end, value, seed) and the words and signs around them, _words and _signs."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    last = lambda acc: F.element_at(acc, -1)
+    bare = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
 
-def learn(cues: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """The cues that are trusted, from rows with the column _cues."""
-    edges = kit.cut(cues.select(F.inline("_cues")).groupBy("cue", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    seeded = edges.where("seed > 0").select("cue").distinct()
-    edges = edges.join(seeded, "cue", "left_semi").withColumn("score", F.col("seed"))  # a cue without a seed can't reach the support
+    def merge(acc: Column, s: Column) -> Column:
+        joined = bare(last(acc)["start"], F.greatest(last(acc)["end"], s["end"]))
+        return F.when(F.get(acc, F.size(acc) - 1)["end"] > s["start"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(bare(s["start"], s["end"]))))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    base = F.aggregate("_base", none, lambda acc, s: F.when(F.size(acc) == 0, F.array(bare(s["start"], s["end"]))).otherwise(merge(acc, s)))
+    out = df.withColumn("_seeds", base).withColumn("_values", _if(t.rlike("[0-9]"), _placed(t, VALUE)))
+    free = F.filter("_values", lambda x: ~F.exists("_seeds", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    item = lambda x, seed: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(t, x["start"] + 1, x["end"] - x["start"]).alias("value"), F.lit(seed).alias("seed"))
+    out = out.withColumn("_found", F.array_sort(F.concat(F.transform("_seeds", lambda x: item(x, True)), F.transform(free, lambda x: item(x, False)))))
+    plain = F.translate(F.translate(t, ITEM, NEUTRAL), "123456789", "000000000")
+    end_of = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("_found"), i - 1)["end"])
+    between = F.transform("_found", lambda x, i: F.concat(F.substring(plain, end_of(i) + 1, x["start"] - end_of(i)), F.lit(ITEM)))
+    rest = F.substring(plain, F.element_at(F.col("_found"), -1)["end"] + 1, F.length(plain))
+    hidden = F.lower(F.when(F.size("_found") > 0, F.concat(F.array_join(between, ""), rest)).otherwise(plain))
+    out = out.withColumn("_hidden", hidden)
+    signs = F.transform(F.split("_hidden", WORD, -1), lambda x: F.translate(x, SILENT, ""))
+    return out.withColumns({"_words": F.regexp_extract_all("_hidden", F.lit(WORD), F.lit(0)), "_signs": signs}).drop("_seeds", "_values", "_hidden")
+
+
+def _before(i: Column) -> Column:
+    """The pattern that word i and the signs after it are for what comes next; null beside an item or the text's ends."""
+    word = F.get(F.col("_words"), i)
+    return F.when((i >= 0) & (word != ITEM), F.concat(F.lit("<"), word, F.get(F.col("_signs"), i + 1)))
+
+
+def _after(i: Column) -> Column:
+    word = F.get(F.col("_words"), i)
+    return F.when(word != ITEM, F.concat(F.lit(">"), F.get(F.col("_signs"), i), word))
+
+
+def with_items(df: DataFrame, text: str = "text") -> DataFrame:
+    """df, which has _base, with _items: the place, value and patterns of each item and whether it is a seed."""
+    out = with_words(df, text)
+    at = F.filter(F.transform("_words", lambda w, i: F.when(w == ITEM, i)), lambda i: i.isNotNull())
+    item = lambda x, i: x.withField("patterns", F.array_compact(F.array(_before(i - 1), _after(i + 1))))
+    items = F.when(F.size("_found") > 0, F.zip_with("_found", at, item)).otherwise(F.zip_with(F.slice("_found", 1, 0), F.array().cast("array<int>"), item))
+    return out.withColumn("_items", items).drop("_found", "_words", "_signs")
+
+
+def elsewhere(texts: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
+    """(pattern, other): how often each of the patterns is next to something that is no item, or to nothing."""
+    out = with_words(with_base(texts.select(text), text), text)
+    word = lambda i: F.get(F.col("_words"), i)
+    free = lambda i: F.coalesce(word(i) != ITEM, F.lit(True))
+    left = F.transform("_words", lambda w, i: F.when(free(i + 1), _before(i)))
+    right = F.transform("_words", lambda w, i: F.when((i == 0) | free(i - 1), _after(i)))
+    every = out.select(F.explode(F.concat(left, right)).alias("pattern")).where("pattern IS NOT NULL")
+    few = patterns.count() <= MAX_SHIPPED
+    return every.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("other"))
+
+
+def learn(items: DataFrame, texts: DataFrame, text: str, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """The patterns that are trusted, from rows with the column _items and the texts that they are from."""
+    places = items.select(F.inline("_items")).select("value", "seed", F.explode("patterns").alias("pattern"))
+    edges = kit.cut(places.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)  # fewer values can't be the support
+    other = elsewhere(texts, kit.cut(sizes.select("pattern")), text)
+    sizes = sizes.join(other, "pattern", "left").select("pattern", (F.col("n") + F.coalesce("other", F.lit(0))).alias("places"), "n")
+    sizes = kit.cut(sizes.where(F.col("n") >= confidence * F.col("places")))  # others stay below, whatever their values score
+    edges = kit.cut(edges.join(sizes.select("pattern", "places"), "pattern").withColumn("score", F.col("seed")))
+    known = -1
     for _ in range(rounds):
-        trust = edges.groupBy("cue").agg(F.avg("score").alias("trust"))
-        edges = kit.cut(edges.join(trust, "cue"))
-        sums = edges.groupBy("value").agg(F.sum("trust").alias("total"), F.count("*").alias("n"))
-        others = F.when(F.col("n") > 1, (F.col("total") - F.col("trust")) / (F.col("n") - 1)).otherwise(0.0)
-        edges = kit.cut(edges.join(sums, "value").select("cue", "value", "seed", F.greatest("seed", others).alias("score")))
-    sums = edges.groupBy("cue").agg(F.avg("score").alias("trust"), F.sum("seed").alias("seeds"))
-    return kit.cut(sums.where((F.col("trust") >= confidence) & (F.col("seeds") >= support)).select("cue"))
+        sums = edges.groupBy("pattern").agg((F.sum("score") / F.max("places")).alias("trust"), F.count_if(F.col("score") >= confidence).alias("support"))
+        trusted = kit.cut(sums.where((F.col("trust") >= confidence) & (F.col("support") >= support)).select("pattern", "trust"))
+        before, known = known, trusted.count()
+        if known in (0, before):
+            break
+        told = edges.join(trusted, "pattern", "left")
+        # of the two most trusted patterns of a value, the one that isn't the pattern itself
+        best = told.where("trust IS NOT NULL").groupBy("value").agg(F.max(F.struct("trust", "pattern")).alias("one"), F.slice(F.sort_array(F.collect_list("trust"), False), 2, 1).alias("two"))
+        vouched = F.when(F.col("one.pattern") != F.col("pattern"), F.col("one.trust")).otherwise(F.get("two", F.lit(0)))
+        edges = kit.cut(edges.join(best, "value", "left").select("pattern", "value", "seed", "places", F.greatest("seed", F.coalesce(vouched, F.lit(0.0))).alias("score")))
+    return trusted.select("pattern")
 
 
 def with_spans(df: DataFrame, trusted: DataFrame) -> DataFrame:
-    """df, which has _base and _cues, with _all: base and new spans, sorted."""
-    looks = lambda x: (F.length(x["value"]) >= 6) & x["value"].rlike("[0-9]") & ~x["seed"]
+    """df, which has _base and _items, with _all: base and new spans, sorted."""
     known = [r[0] for r in trusted.limit(MAX_PATTERNS + 1).collect()]
     if len(known) <= MAX_PATTERNS:
-        chosen = F.filter("_cues", lambda x: x["cue"].isin(known) & looks(x)) if known else F.filter("_cues", lambda x: F.lit(False))
+        chosen = F.filter("_items", lambda x: ~x["seed"] & F.exists(x["patterns"], lambda p: p.isin(known))) if known else F.filter("_items", lambda x: F.lit(False))
     else:
         df = kit.cut(df.withColumn("_row", F.monotonically_increasing_id()))
-        hit = df.select("_row", F.explode("_cues").alias("_x")).join(trusted, F.col("_x.cue") == trusted["cue"], "left_semi")
-        hit = hit.groupBy(F.col("_row").alias("_of")).agg(F.collect_list("_x").alias("_hit"))
+        asked = df.select("_row", F.explode(F.filter("_items", lambda x: ~x["seed"])).alias("_x")).select("_row", "_x", F.explode("_x.patterns").alias("pattern"))
+        hit = asked.join(trusted, "pattern", "left_semi").groupBy(F.col("_row").alias("_of")).agg(F.collect_set("_x").alias("_hit"))
         df = df.join(hit, df["_row"] == hit["_of"], "left").drop("_row", "_of")
-        chosen = F.filter(F.coalesce("_hit", F.slice("_cues", 1, 0)), looks)
+        chosen = F.coalesce("_hit", F.slice("_items", 1, 0))
     new = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("id")).alias("k"), x["end"].alias("end")))
-    new = F.filter(new, lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     out = df.withColumn("_all", F.array_sort(F.concat("_base", new)))
     return out.drop("_hit") if "_hit" in out.columns else out
 
@@ -156,16 +219,18 @@ def written(spans: Column) -> Column:
 
 def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_email, n_ip, n_card, n_phone, n_id, base_spans, spans) of every row of df."""
-    narrow = kit.cut(with_base(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text").select("_key", "_base", "_cues"))
-    found = with_spans(narrow, learn(narrow))
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    narrow = kit.cut(with_items(with_base(texts, "_text"), "_text").select("_key", "_base", "_items"))
+    found = with_spans(narrow, learn(narrow, texts, "_text"))
     count = lambda k: F.size(F.filter("_all", lambda s: s["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select(F.col("_key").alias(key), *[count(k) for k in KINDS], written(F.col("_base")).alias("base_spans"), written(F.col("_all")).alias("spans"))
 
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every span in text replaced by its kind in brackets; spans that overlap become one, of the first's kind."""
-    narrow = kit.cut(with_base(df.select(F.col(text).alias("_text")), "_text").where(F.size("_cues") > 0).select("_cues"))
-    out = with_spans(with_base(df, text), learn(narrow))
+    texts = df.select(F.col(text).alias("_text"))
+    narrow = kit.cut(with_items(with_base(texts, "_text"), "_text").where(F.size("_items") > 0).select("_items"))
+    out = with_spans(with_items(with_base(df, text), text), learn(narrow, texts, "_text"))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -179,4 +244,4 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     piece = lambda s, i: F.concat(F.substring(F.col(text), F.when(i == 0, 0).otherwise(F.get(F.col("_all"), i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get(F.col("_all"), i - 1)["end"])), F.get(names, s["k"]))
     tail = F.expr(f"substring(`{text}`, element_at(_all, -1).end + 1)")
     changed = F.concat(F.array_join(F.transform("_all", piece), ""), tail)
-    return out.withColumn(text, F.when(F.size("_all") > 0, changed).otherwise(F.col(text))).drop("_base", "_cues", "_all")
+    return out.withColumn(text, F.when(F.size("_all") > 0, changed).otherwise(F.col(text))).drop("_base", "_items", "_all")

@@ -241,6 +241,22 @@ def test_bootstrapping_finds_identifiers_after_learned_cues(spark):
     assert got[0].spans == "email:16:35"
 
 
+@pytest.mark.parametrize("most", [5000, 0])
+def test_found_values_teach_patterns_on_either_side(spark, monkeypatch, most):
+    """No sign is between word and value, one pattern is the word after, and `badge` has no seed: found values alone support it."""
+    monkeypatch.setattr(pii, "MAX_PATTERNS", most)
+    code = [f"QX{i}7-44{i}" for i in range(8)]
+    data = [(1000 + i, f"write u{i}@mail.example.org") for i in range(100)]
+    data += [(100 + i, f"write {c}") for i, c in enumerate(code)]
+    data += [(200 + i, f"badge {c}") for i, c in enumerate(code)] + [(210, "badge ZZ-90-81")]
+    data += [(300 + i, f"10.0.0.{i} joined") for i in range(9)] + [(310, "KK-55-66 joined")]
+    data += [(400 + i, f"the 10.0.1.{i}") for i in range(9)] + [(420 + i, "the word") for i in range(9)] + [(410, "the PP-11-22")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[100 + i].spans == f"id:6:{6 + len(c)}" for i, c in enumerate(code))
+    assert all(got[200 + i].n_id == 1 for i in range(8)) and got[210].spans == "id:6:14"
+    assert got[310].spans == "id:0:8" and got[410].spans == ""
+
+
 @pytest.mark.parametrize("most", [5000, 0])
 def test_redaction_follows_the_spans(spark, monkeypatch, most):
     monkeypatch.setattr(pii, "MAX_PATTERNS", most)
