@@ -174,7 +174,7 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose language is known: those that are `und` or have no language with the share `least` go."""
-    out = identify(df, model, text).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+def keep_identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose languages are known, however many they are: those that are `und` go."""
+    out = identify(df, model, text).where(F.col("lang_pred") != UND)
     return out.drop(*[c for c in ("lang_pred", "score", "lang_spans") if c not in df.columns])

@@ -13,7 +13,7 @@ from assay.llm import decontaminate, kit, langid, pii, simhash, subword
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: no letters, or no language with half of them."""
+    """Documents whose language can't be told go: those without letters."""
     return langid.keep_identified(docs, langid.fit(docs, ~langid.held_out()))
 
 

@@ -104,6 +104,9 @@ def test_language_of_held_out_and_mixed_texts(spark):
     n = len(WORDS["en"])
     assert by[903].lang_spans == f"en:0:{n},de:{n + 2}:{len(mixed) - 1}"
     assert rows_of(langid.keep_identified(df, model), "doc_id") == sorted([(r[0],) for r in data if r[0] not in (900, 901, 902)], key=repr)
+    three = f"{WORDS['en']}. {WORDS['de']}. {WORDS['fr']}."
+    several = langid.identify(spark.createDataFrame([(1, three)], "doc_id long, text string"), model)
+    assert several.first().score < 0.5 and langid.keep_identified(several.select("doc_id", "text"), model).count() == 1
     empty = langid.identify(df.limit(0), langid.fit(df.limit(0), ~langid.held_out()))
     assert empty.count() == 0
 
