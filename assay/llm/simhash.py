@@ -124,12 +124,16 @@ def _spanning(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
+def grouped(classes: DataFrame) -> DataFrame:
+    """(fingerprint, component) of the linked ones among the distinct longs of column fingerprint."""
+    return kit.components(links(classes)).select(F.col("id").alias("fingerprint"), "component")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) of every row: the smallest key among all rows that links reach."""
     rows = kit.cut(fingerprints(df.select(F.col(key).alias("id"), F.col(text).alias("t")), "t").select("id", "fingerprint"))
     classes = kit.cut(rows.groupBy("fingerprint").agg(F.min("id").alias("low")))
-    linked = kit.components(links(classes))
-    of = classes.join(linked.select(F.col("id").alias("fingerprint"), "component"), "fingerprint")
+    of = classes.join(grouped(classes), "fingerprint")
     lowest = of.groupBy("component").agg(F.min("low").alias("lowest"))
     moved = of.join(lowest, "component").select("fingerprint", "lowest")
     groups = kit.cut(classes.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id")))
@@ -137,18 +141,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df without near-duplicates: of each group the row with the smallest key stays.
+    """The rows of df without near-duplicates: of each group of linked rows the one with the smallest key, then text, stays.
 
-    Rows without a key stay, since they can't be named; of rows that repeat a key, the one with the smallest text stays.
+    Rows are told apart by their fingerprints, not by their keys, which may be repeated or null; null keys come last.
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(df, key, text)
-    gone = kit.cut(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    kept = df.join(gone, df[key] == gone["_gone"], "left_anti")
-    again = kit.cut(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[key] == again["_again"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    return once.unionByName(kept.join(again, kept[key] == again["_again"], "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    marked = fingerprints(df, text, "_fingerprint")
+    classes = kit.cut(fingerprints(df.select(F.col(text).alias("t")), "t").groupBy("fingerprint").count())
+    of = classes.join(grouped(classes.select("fingerprint")), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    crowded = of.groupBy("component").agg(F.sum("count").alias("rows")).where("rows > 1").select("component")
+    crowded = kit.cut(of.join(crowded, "component").select(F.col("fingerprint").alias("_of"), F.col("component").alias("_component")))
+    alone = marked.join(crowded, marked["_fingerprint"] == crowded["_of"], "left_anti").drop("_fingerprint")
+    rank = F.row_number().over(Window.partitionBy("_component").orderBy(F.col(key).asc_nulls_last(), F.col(text)))
+    first = marked.join(crowded, marked["_fingerprint"] == crowded["_of"]).withColumn("_rank", rank).where("_rank = 1")
+    return alone.unionByName(first.drop("_fingerprint", "_of", "_component", "_rank"))

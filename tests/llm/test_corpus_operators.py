@@ -479,6 +479,14 @@ def test_simhash_matches_brute_force(spark, sf_dir):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_row_where_keys_repeat_or_are_null(spark):
+    words = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 60))
+    a, b, c, d, e = map(words, range(5))
+    data = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, e), (None, e), (None, a)]
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (3, d), (None, e)], key=repr)
+
+
 def test_fingerprint_links_on_chosen_bits(spark):
     rng = np.random.default_rng(6)
     base = [int(x) for x in rng.integers(0, 2**63, 20)]
