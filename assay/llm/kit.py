@@ -96,8 +96,8 @@ SCRIPTS = {
 
 @cache
 def letters() -> np.ndarray:
-    """Of each code point of the first plane, whether it is a letter. Those above count as letters."""
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    """Of each code point, whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 @cache

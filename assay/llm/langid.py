@@ -46,7 +46,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Folded code points, starts of texts, starts and ends of words, script of each word, hashed trigram at each code point."""
     raw, starts = kit.code_points(texts)
     low = np.where(raw < 0x10000, kit.folded()[np.minimum(raw, 0xFFFF)], raw)
-    letter = np.where(raw < 0x10000, kit.letters()[np.minimum(raw, 0xFFFF)], True)
+    letter = kit.letters()[raw]
     low = np.where(letter, low, np.uint32(32))
     change = np.diff(letter.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)

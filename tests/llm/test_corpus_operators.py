@@ -111,6 +111,13 @@ def test_language_of_held_out_and_mixed_texts(spark):
     assert empty.count() == 0
 
 
+def test_emoji_are_no_letters():
+    model = langid.Model(["de", "en"], np.zeros((langid.BUCKETS, 2), np.float32), np.ones((len(kit.SCRIPTS) + 1, 2), dtype=bool))
+    langs, scores, spans = langid.label(["\U0001f600\U0001f680", "ab\U0001f600\U0001f600\U0001f600", "\U00010400\U00010401"], model)
+    assert langs[0] == "und" and scores[0] == 0 and spans[0] == ""
+    assert spans[1].endswith(":0:2") and spans[2].endswith(":0:2")
+
+
 def brute_path(scores, switch):
     best, back = scores[0].astype(float), []
     for s in scores[1:]:
