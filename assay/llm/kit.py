@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.sources.shared import cut, shared_dir
+
 #: Texts are handled in slices of about so many code units, which bounds a Python worker's memory.
 SLICE_BYTES = 4_000_000
 
@@ -21,21 +23,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="assay-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder: lost executors don't lose them, and nothing is computed again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -71,6 +58,12 @@ def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callab
     return base.mapInArrow(run, schema)
 
 
+def keep(df: DataFrame, work: Callable[[DataFrame], DataFrame], results: tuple[str, ...], where: Column) -> DataFrame:
+    """The rows of df for whose results the condition holds, as they are: columns named like the results keep their values."""
+    mine = {c: f"_own_{c}" for c in results if c in df.columns}
+    return work(df.withColumnsRenamed(mine)).where(where).drop(*results).withColumnsRenamed({new: c for c, new in mine.items()})
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
@@ -100,11 +93,17 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+@cache
+def marks() -> np.ndarray:
+    """Of each code point, whether it is a mark that belongs to the letter before it, such as a vowel sign."""
+    return np.array([unicodedata.category(chr(c)) in ("Mn", "Mc") for c in range(0x110000)])
+
+
 @cache
 def folded() -> np.ndarray:
-    """Of each code point of the first plane, its lower case; a space for all that is neither letter nor digit."""
-    out = np.full(0x10000, 32, dtype=np.uint32)
-    for c in range(0x10000):
+    """Of each code point, its lower case; a space for all that is neither letter nor digit."""
+    out = np.full(0x110000, 32, dtype=np.uint32)
+    for c in range(0x110000):
         if (x := chr(c)).isalnum():
             out[c] = ord(x.lower()) if len(x.lower()) == 1 else c
     return out
@@ -158,20 +157,85 @@ class Forest:
         return a != b
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of a sorted partition, dealt anew so that none splits a run of equal numeric keys, and where the runs begin.
+
+    No more than a batch and one group is held.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [np.asarray(batch[k]) for k in keys]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        new[0] = bool(held) and any(np.asarray(held[-1][k])[-1] != v[0] for k, v in zip(keys, values, strict=True))
+        at = np.flatnonzero(new)
+        if len(at):
+            held.append(batch.slice(0, at[-1]))
+            yield _grouped(held, keys)
+            held = []
+        held.append(batch.slice(at[-1]) if len(at) else batch)
+    if held:
+        yield _grouped(held, keys)
+
+
+def _grouped(held: list[pa.RecordBatch], keys: list[str]) -> tuple[pa.RecordBatch, np.ndarray]:
+    batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for k in keys:
+        v = np.asarray(batch[k])
+        new[1:] |= v[1:] != v[:-1]
+    return batch, np.flatnonzero(new)
+
+
+def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every two places of the same group, for groups of few members: one step for each size."""
+    first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == n]
+        i, j = np.triu_indices(n, 1)
+        first.append((at[:, None] + i).ravel())
+        second.append((at[:, None] + j).ravel())
+    return np.concatenate(first), np.concatenate(second)
+
+
+#: A key with more than this share of a shuffle partition's even part of the rows is dealt to several tasks.
+HOT_SHARE = 0.25
+
+
+def _dealt(rows: DataFrame, key: str, table: DataFrame, most: float) -> DataFrame:
+    """rows joined with table, which has one row a key. Keys with more than `most` rows are dealt out by a salt.
+
+    Fewer than (number of rows / most) keys can have so many rows, which bounds what is broadcast.
+    """
+    hot = F.broadcast(cut(rows.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_salts")).where("_salts > 1")))
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("_salts", F.lit(1)))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_salts")
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id that can be reached.
 
     Each round takes the smallest label among the neighbours, then the label of the label, so chains halve. Labels are
-    written to the shared folder after each round. Hubs are safe: messages to a node are combined before the shuffle, and
-    the joins have no aggregation below them in their stage, so adaptive execution may split a hub's rows.
+    written to the shared folder after each round. Hubs and large components are single keys: messages to a node are
+    combined before the shuffle, and joins deal keys with many rows to several tasks.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")))
+    heard_by = both.select(F.col("a").alias("id"), F.col("b").alias("from"))
+    most_edges, most_nodes = (max(1.0, HOT_SHARE * df.count() / parts) for df in (both, labels))
     while True:
-        heard = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        told = _dealt(heard_by, "from", labels.select(F.col("id").alias("from"), "label"), most_edges)
+        heard = told.groupBy("id").agg(F.min("label").alias("heard"))
         nearer = cut(labels.join(heard, "id").select("id", F.col("label").alias("was"), F.least("label", "heard").alias("label")))
         of = nearer.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        nxt = cut(nearer.join(of, "label").select("id", "was", F.col("further").alias("label")))
+        nxt = cut(_dealt(nearer, "label", of, most_nodes).select("id", "was", F.col("further").alias("label")))
         if nxt.where("was <> label").isEmpty():
             return nxt.select("id", F.col("label").alias("component"))
         labels = nxt.select("id", "label")
