@@ -1,16 +1,19 @@
-"""SimHash near-duplicates by an inverted index over byte positions.
+"""SimHash near-duplicates by an inverted index over byte positions with count filtering.
 
 Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share at
-least six positional bytes: that is the guaranteed minimum of matches. Every fingerprint is posted under each of its 28
-sets of six positional bytes. The fingerprints of one posting list share those six; the tally adds the matches among the
-two bytes left, and what reaches the minimum is verified by its bits. A list is bounded by construction: its members
-differ in two bytes only, so it has at most 65,536 of them, whatever the number of documents. Equal fingerprints are
-folded before, so copies never meet in a list.
-
-Only a spanning forest of each list's links leaves its task; components need no more.
-
-Cases: a null or empty text has no word, so its fingerprint is zero and it is linked like any other; repeated rows share
-a fingerprint; rows without an id take their group's component; an empty table gives no rows; other columns are ignored.
+least six positional bytes: that is the guaranteed minimum of matches. A posting list holds the fingerprints that share the
+five positional bytes of its key; a key leaves out one of the `LEFT_OUT` triples, and every two positions are within one of
+those, so a pair that shares six bytes meets in a list. In a list the shared positional bytes of each pair are tallied: those
+of the key and those among the three left. Pairs below the minimum are rejected, the others verified by their bits.
+
+Lists are read from sorted partitions one after another, so a task holds one list. Its members differ in three bytes only,
+so it has at most 2^24 of them, whatever the number of documents; over `SHORT` members, the neighbours of each are looked up
+instead of tallying all pairs (a neighbour differs in at most two bits, so it always reaches the minimum). Equal
+fingerprints are folded before, so copies never meet in a list, and only a spanning forest of a list's links leaves its task.
+
+Cases: a null or empty text has no word, so its fingerprint is zero and it is linked like any other; texts of any length are
+read whole; repeated rows share a fingerprint; rows without an id take their group's component; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ from assay.llm import kit
 
 SEED, WORDS, BITS = 42, 3, 2
 BYTES = 8
-#: The byte positions that a posting key leaves out.
-LEFT_OUT = list(combinations(range(BYTES), BITS))
+#: Byte positions that a posting key leaves out: a smallest set of triples that holds every two positions.
+LEFT_OUT = [(0, 1, 2), (0, 2, 7), (0, 3, 5), (0, 4, 6), (1, 3, 4), (1, 5, 6), (1, 5, 7), (2, 3, 4), (2, 5, 6), (3, 6, 7), (4, 5, 7)]
+#: Positional bytes that linked fingerprints share at least.
+LEAST = BYTES - BITS
+#: Lists up to so long are tallied pair by pair.
+SHORT = 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -68,60 +75,70 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the linked ones among the distinct longs of column fingerprint."""
     fp = F.col("fingerprint")
     byte = lambda i: F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255))
-    posts = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), fp.bitwiseAND(F.lit(mask)).alias("shared"), (byte(a) + 256 * byte(b)).cast("int").alias("left")) for k, ((a, b), mask) in enumerate(zip(LEFT_OUT, _masks(), strict=True))])
-    lists = distinct.select(F.inline(posts)).groupBy("k", "shared").agg(F.collect_set("left").alias("left")).where(F.size("left") > 1)
+    left = lambda out: sum((byte(i) * (1 << 8 * n) for n, i in enumerate(out)), F.lit(0)).cast("int")
+    posts = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), fp.bitwiseAND(F.lit(mask)).alias("shared"), left(out).alias("left")) for k, (out, mask) in enumerate(zip(LEFT_OUT, _masks(), strict=True))])
+    lists = distinct.select(F.inline(posts)).repartition("k", "shared").sortWithinPartitions("k", "shared", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _forest(batch)
+        for batch, starts in kit.whole_groups(batches, ["k", "shared"]):
+            a, b = _forest(*(np.asarray(batch[c]) for c in ("k", "shared", "left")), starts)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
 def _whole(k: np.ndarray, shared: np.ndarray, left: np.ndarray) -> np.ndarray:
-    at = np.array(LEFT_OUT, dtype=np.uint64) * np.uint64(8)
-    low, high = left.astype(np.uint64) & np.uint64(255), left.astype(np.uint64) >> np.uint64(8)
-    return (shared.view(np.uint64) | low << at[k, 0] | high << at[k, 1]).view(np.int64)
+    at, left, out = np.array(LEFT_OUT, dtype=np.uint64) * np.uint64(8), left.astype(np.uint64), shared.view(np.uint64)
+    for n in range(at.shape[1]):
+        out = out | (left >> np.uint64(8 * n) & np.uint64(255)) << at[k, n]
+    return out.view(np.int64)
 
 
-def _linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The count filter over the bytes left, then the bits."""
+def tally(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many positional bytes members of a list share: those of the key and those among the bytes left."""
     differ = x ^ y
-    tally = BYTES - BITS + ((differ & 255) == 0).astype(int) + ((differ >> 8) == 0)
-    return (tally >= BYTES - BITS) & (np.bitwise_count(differ) <= BITS)
-
-
-def _forest(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    k, shared = (np.asarray(batch.column(i)) for i in (0, 1))
-    lists = batch.column(2)
-    starts, values = np.asarray(lists.offsets), np.asarray(lists.values)
-    sizes = np.diff(starts)
-    two = np.flatnonzero(sizes == 2)
-    x, y = values[starts[two]], values[starts[two] + 1]
-    two, x, y = (v[_linked(x, y)] for v in (two, x, y))
-    edges = [(two, x, y)]
-    for i in np.flatnonzero(sizes > 2):
-        x, y = _spanning(np.sort(values[starts[i] : starts[i + 1]]))
-        edges.append((np.full(len(x), i), x, y))
-    i, x, y = (np.concatenate(v).astype(np.int64) for v in zip(*edges, strict=True))
-    return _whole(k[i], shared[i], x), _whole(k[i], shared[i], y)
-
-
-def _spanning(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct 16-bit numbers: each is tried with the 136 within two bits."""
-    there = np.zeros(1 << 16, dtype=bool)
-    there[left] = True
-    forest, a, b = kit.Forest(), [], []
-    bits = [1 << i for i in range(16)]
+    return BYTES - len(LEFT_OUT[0]) + sum(((differ >> 8 * n) & 255 == 0).astype(np.int64) for n in range(len(LEFT_OUT[0])))
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of a list, which are linked: the count filter first, then the bits of those it retains."""
+    out = tally(x, y) >= LEAST
+    at = np.flatnonzero(out)
+    out[at] = np.bitwise_count(x[at] ^ y[at]) <= BITS
+    return out
+
+
+def _forest(k: np.ndarray, shared: np.ndarray, left: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of each list; starts are those of the lists."""
+    sizes = np.diff(np.append(starts, len(left)))
+    i, j = kit.pairs_within(starts, np.where(sizes > SHORT, 0, sizes))
+    good = linked(left[i], left[j])
+    edges = [(i[good], j[good])]
+    for a, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+        edges += [(a + x, a + y) for x, y in _neighbours(left[a : a + n])]
+    up = np.arange(len(left))
+    forest, kept = kit.Forest(), []
+    for i, j in edges:
+        new = up[i] != up[j]  # those that were joined before needn't be looked at
+        for x, y in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            if forest.join(x, y):
+                kept.append((x, y))
+        if len(i) > SHORT:
+            at = np.unique(np.concatenate([i, j]))
+            up[at] = [forest.root(x) for x in at.tolist()]
+    i, j = np.array(kept, dtype=np.int64).reshape(-1, 2).T
+    return _whole(k[i], shared[i], left[i]), _whole(k[j], shared[j], left[j])
+
+
+def _neighbours(left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in a sorted list of distinct numbers that differ in one or two bits, mask by mask."""
+    bits = [1 << i for i in range(8 * len(LEFT_OUT[0]))]
     for mask in bits + [x | y for x, y in combinations(bits, 2)]:
-        x = left[there[left ^ mask] & (left < left ^ mask)]
-        x = x[_linked(x, x ^ mask)]
-        for v in x.tolist():
-            if forest.join(v, v ^ mask):
-                a.append(v)
-                b.append(v ^ mask)
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        other = left ^ mask
+        j = np.minimum(np.searchsorted(left, other), len(left) - 1)
+        i = np.flatnonzero((left[j] == other) & (left < other))
+        if len(i):
+            yield i, j[i]
 
 
 def grouped(classes: DataFrame) -> DataFrame:
@@ -129,10 +146,15 @@ def grouped(classes: DataFrame) -> DataFrame:
     return kit.components(links(classes)).select(F.col("id").alias("fingerprint"), "component")
 
 
+def _spread(classes: DataFrame) -> DataFrame:
+    """Few bytes a fingerprint, but many postings: adaptive execution would leave them to a few tasks."""
+    return classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fingerprint, component_id) of every row: the smallest key among all rows that links reach."""
     rows = kit.cut(fingerprints(df.select(F.col(key).alias("id"), F.col(text).alias("t")), "t").select("id", "fingerprint"))
-    classes = kit.cut(rows.groupBy("fingerprint").agg(F.min("id").alias("low")))
+    classes = kit.cut(_spread(rows.groupBy("fingerprint").agg(F.min("id").alias("low"))))
     of = classes.join(grouped(classes), "fingerprint")
     lowest = of.groupBy("component").agg(F.min("low").alias("lowest"))
     moved = of.join(lowest, "component").select("fingerprint", "lowest")
@@ -148,7 +170,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     from pyspark.sql import Window
 
     marked = fingerprints(df, text, "_fingerprint")
-    classes = kit.cut(fingerprints(df.select(F.col(text).alias("t")), "t").groupBy("fingerprint").count())
+    classes = kit.cut(_spread(fingerprints(df.select(F.col(text).alias("t")), "t").groupBy("fingerprint").count()))
     of = classes.join(grouped(classes.select("fingerprint")), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     crowded = of.groupBy("component").agg(F.sum("count").alias("rows")).where("rows > 1").select("component")
     crowded = kit.cut(of.join(crowded, "component").select(F.col("fingerprint").alias("_of"), F.col("component").alias("_component")))
