@@ -6,18 +6,19 @@ neither recurses nor starts anew inside a run (separators inside a run become a
 the same.
 
 Bootstrapping: items are the base spans (overlapping ones as one) and, outside them, identifier-like values (six characters
-with a digit, or more). The patterns of an item are the word before it and the word after it, each with the signs between, in
-lower case and with every digit as 0, so that numbers count by their shape; spaces, quotes, `+` and `@` don't count. Over the
-graph of patterns and values, a pattern's confidence is the sum of the scores of its distinct values, divided by their number
-and that of all places in the texts where the pattern is next to something else. Base entities score 1. Towards a pattern,
-another value scores the greatest confidence of its other patterns that are trusted, so none vouches for itself. A pattern is
-trusted with a confidence of at least `CONFIDENCE` and `SUPPORT` distinct values that score as much; so values found in one
-round support further patterns in the next. Rounds end when the trusted patterns stay the same, or after `ROUNDS`. Other items
-next to a trusted pattern are new spans of kind `id`. Base spans always stay.
+with a digit, or more). Seeds are the base spans and, of the values, those with the shape of a key or digest: `SECRET`. The
+patterns of an item are the word before it and the word after it, each with the signs between, in lower case and with every
+digit as 0, so that numbers count by their shape; spaces, quotes, `+` and `@` don't count. Over the graph of patterns and
+values, a pattern's confidence is the sum of the scores of its distinct values, divided by their number and that of all places
+in the texts where the pattern is next to something else. Seeds score 1. Towards a pattern, another value scores the greatest
+confidence of its other patterns that are trusted, so none vouches for itself. A pattern is trusted with a confidence of at
+least `CONFIDENCE` and `SUPPORT` distinct values that score as much; so values found in one round are seeds of the next.
+Rounds end when the trusted patterns stay the same, or after `ROUNDS`. Items next to a trusted pattern that are no base spans
+are new spans of kind `id`; a value of a key's shape in any other place isn't. Base spans always stay.
 
 Cases: a null text counts as empty (no spans); overlapping spans of different kinds are all reported; equal starts are in
-the order of the kinds; rows that repeat get the same answer; empty tables work; columns named like the results are
-replaced. Up to `MAX_PATTERNS` learned patterns are put into the plan; beyond that they are joined.
+the order of the kinds; texts of any length are read whole; rows that repeat get the same answer; empty tables work; columns
+named like the results are replaced. Up to `MAX_PATTERNS` learned patterns are put into the plan; beyond that they are joined.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x01]+"
 CARD_GAP = r"(?<=[0-9])[ -](?=[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-VALUE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@+][A-Za-z0-9@._%+-]{5,}+"
+VALUE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@+][A-Za-z0-9@._%+-]{4,}[A-Za-z0-9]"
+#: The shape of keys and digests: long, of letters and digits, with several of both.
+SECRET = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})[A-Za-z0-9_-]{20,}+$"
 #: Stands for an item; where it is in a text itself, it is read as a character of no class.
 ITEM = "\x02"
 WORD = r"[\p{L}\p{N}_-]++|\x02"
@@ -114,7 +117,7 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """df, which has _base, with _found (items: start, end, value, seed) and the words and signs around them, _words and _signs."""
+    """df, which has _base, with _found (items: start, end, value, base, seed) and the words and signs around them, _words and _signs."""
     t = F.coalesce(F.col(text), F.lit(""))
     last = lambda acc: F.element_at(acc, -1)
     bare = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
@@ -127,8 +130,9 @@ def with_words(df: DataFrame, text: str = "text") -> DataFrame:
     base = F.aggregate("_base", none, lambda acc, s: F.when(F.size(acc) == 0, F.array(bare(s["start"], s["end"]))).otherwise(merge(acc, s)))
     out = df.withColumn("_seeds", base).withColumn("_values", _if(t.rlike("[0-9]"), _placed(t, VALUE)))
     free = F.filter("_values", lambda x: ~F.exists("_seeds", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    item = lambda x, seed: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(t, x["start"] + 1, x["end"] - x["start"]).alias("value"), F.lit(seed).alias("seed"))
-    out = out.withColumn("_found", F.array_sort(F.concat(F.transform("_seeds", lambda x: item(x, True)), F.transform(free, lambda x: item(x, False)))))
+    item = lambda x, value, base, seed: F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), F.lit(base).alias("base"), seed.alias("seed"))
+    seeds = F.transform("_seeds", lambda x: item(x, F.substring(t, x["start"] + 1, x["end"] - x["start"]), True, F.lit(True)))
+    out = out.withColumn("_found", F.array_sort(F.concat(seeds, F.transform(free, lambda x: item(x, x["value"], False, x["value"].rlike(SECRET))))))
     plain = F.translate(F.translate(t, ITEM, NEUTRAL), "123456789", "000000000")
     end_of = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("_found"), i - 1)["end"])
     between = F.transform("_found", lambda x, i: F.concat(F.substring(plain, end_of(i) + 1, x["start"] - end_of(i)), F.lit(ITEM)))
@@ -151,7 +155,7 @@ def _after(i: Column) -> Column:
 
 
 def with_items(df: DataFrame, text: str = "text") -> DataFrame:
-    """df, which has _base, with _items: the place, value and patterns of each item and whether it is a seed."""
+    """df, which has _base, with _items: the place, value and patterns of each item, whether it is a base span and whether a seed."""
     out = with_words(df, text)
     at = F.filter(F.transform("_words", lambda w, i: F.when(w == ITEM, i)), lambda i: i.isNotNull())
     item = lambda x, i: x.withField("patterns", F.array_compact(F.array(_before(i - 1), _after(i + 1))))
@@ -199,10 +203,10 @@ def with_spans(df: DataFrame, trusted: DataFrame) -> DataFrame:
     """df, which has _base and _items, with _all: base and new spans, sorted."""
     known = [r[0] for r in trusted.limit(MAX_PATTERNS + 1).collect()]
     if len(known) <= MAX_PATTERNS:
-        chosen = F.filter("_items", lambda x: ~x["seed"] & F.exists(x["patterns"], lambda p: p.isin(known))) if known else F.filter("_items", lambda x: F.lit(False))
+        chosen = F.filter("_items", lambda x: ~x["base"] & F.exists(x["patterns"], lambda p: p.isin(known))) if known else F.filter("_items", lambda x: F.lit(False))
     else:
         df = kit.cut(df.withColumn("_row", F.monotonically_increasing_id()))
-        asked = df.select("_row", F.explode(F.filter("_items", lambda x: ~x["seed"])).alias("_x")).select("_row", "_x", F.explode("_x.patterns").alias("pattern"))
+        asked = df.select("_row", F.explode(F.filter("_items", lambda x: ~x["base"])).alias("_x")).select("_row", "_x", F.explode("_x.patterns").alias("pattern"))
         hit = asked.join(trusted, "pattern", "left_semi").groupBy(F.col("_row").alias("_of")).agg(F.collect_set("_x").alias("_hit"))
         df = df.join(hit, df["_row"] == hit["_of"], "left").drop("_row", "_of")
         chosen = F.coalesce("_hit", F.slice("_items", 1, 0))
