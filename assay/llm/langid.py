@@ -4,11 +4,12 @@ The model counts character trigrams (words padded by a space, lower case, hashed
 of labelled rows. A word's script, from fixed code-point ranges, leaves only the languages that were seen in that script;
 its score for each of them is the sum of the trigrams' log probabilities. Viterbi over all the words of a text, where each
 change of language costs `SWITCH`, labels spans. The text's language is the one with most letters, and its score is that
-language's share of the letters.
+language's share of the letters; marks such as vowel signs belong to the letters they follow and count with them.
 
 Cases: a null text or one without a letter gets `und`, score 0 and no spans; a word in a script no learned language has
 favours none; ties go to the language first in the alphabet; with nothing to learn from, every text is `und`; repeated
-rows get the same answer; columns named like the results are replaced; texts of any length are read whole.
+rows get the same answer; columns named like the results are replaced by identify() and keep their own values in
+keep_identified(); texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -45,12 +46,14 @@ class Model:
 def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Folded code points, starts of texts, starts and ends of words, script of each word, hashed trigram at each code point."""
     raw, starts = kit.code_points(texts)
-    low = np.where(raw < 0x10000, kit.folded()[np.minimum(raw, 0xFFFF)], raw)
-    letter = kit.letters()[raw]
-    low = np.where(letter, low, np.uint32(32))
-    change = np.diff(letter.astype(np.int8), prepend=0, append=0)
+    letter, mark = kit.letters()[raw], kit.marks()[raw]
+    low = np.where(letter, kit.folded()[raw], np.where(mark, raw, np.uint32(32)))
+    change = np.diff((letter | mark).astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    script = np.where(raw[begin] < 0x10000, kit.scripts()[np.minimum(raw[begin], 0xFFFF)], 0)
+    so_far = np.append(0, np.cumsum(letter))
+    some = so_far[end] > so_far[begin]  # marks alone are no word
+    begin, end = begin[some], end[some]
+    script = np.where(raw[begin] < 0x10000, kit.scripts()[np.minimum(raw[begin], 0xFFFF)], 0)  # a word begins in its script
     padded = np.concatenate([[np.uint32(32)], low, [np.uint32(32)]]).astype(np.uint32)
     h = padded[:-2] * np.uint32(0x9E3779B1) ^ padded[1:-1] * np.uint32(0x85EBCA77) ^ padded[2:] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
@@ -79,7 +82,7 @@ def fit(df: DataFrame, use: Column, text: str = "text", lang: str = "lang", key:
         for name, (grams, by_script) in sums.items():
             all_ = np.concatenate([grams, by_script])
             at = np.flatnonzero(all_)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(all_[at])], names=["l", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(all_[at])], names=["l", "cell", "n"])
 
     # At most MAX_LANGUAGES x (BUCKETS + scripts) rows, whatever the corpus.
     counted = kit.cut(picked.mapInArrow(run, "l string, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")))
@@ -175,6 +178,5 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def keep_identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose languages are known, however many they are: those that are `und` go."""
-    out = identify(df, model, text).where(F.col("lang_pred") != UND)
-    return out.drop(*[c for c in ("lang_pred", "score", "lang_spans") if c not in df.columns])
+    """The rows whose languages are known, however many they are, as they are: those that are `und` go."""
+    return kit.keep(df, lambda x: identify(x, model, text), ("lang_pred", "score", "lang_spans"), F.col("lang_pred") != UND)
