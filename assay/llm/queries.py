@@ -47,7 +47,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.load(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.find(docs, kit.load(spark, sf_dir, "benchmark")).drop("text")
+    out = decontaminate.find(docs, kit.load(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_matches", "contaminated", decontaminate.written(F.col("matches")).alias("matches"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
