@@ -70,6 +70,33 @@ def test_embeddings_recall_at_the_threshold_and_tiles(spark, monkeypatch):
     assert got.where("n_links = 1").count() >= 0.95 * 800
 
 
+def brute_links(x, label):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    return [(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.93, 1))) if label[i] == label[j]]
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+@pytest.mark.parametrize("layouts", [[(16, 2)], [(64, 1), (32, 3)], embeddings.LAYOUTS])
+def test_recall_over_layouts_and_dimensions(spark, monkeypatch, dim, layouts):
+    """Planted groups among others; links are those of brute force but for what the calibration allows."""
+    rng = np.random.default_rng(dim)
+    centres = rng.standard_normal((150, dim))
+    x = np.concatenate([centres, *(centres + 0.27 * rng.standard_normal((150, dim)) for _ in range(3)), rng.standard_normal((200, dim))]).astype(np.float32)
+    label = np.arange(len(x)) % 150 % 2
+    monkeypatch.setattr(embeddings, "LAYOUTS", layouts)
+    want = brute_links(x.astype(float), label)
+    df = spark.createDataFrame([(i, [float(v) for v in e], int(c)) for i, (e, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    links = np.bincount(np.array(want).ravel(), minlength=len(x))
+    assert len(want) > 300 and all(got[i] <= n for i, n in enumerate(links)) and sum(got.values()) >= 0.995 * 2 * len(want)
+
+
+def test_layouts_follow_the_largest_label():
+    sizes = [embeddings.layout(n) for n in (0, 1000, 100_000, 400_000, 10**9, 10**15)]
+    assert sizes == [(256, 1), (256, 1), (2048, 1), (256, 2), (1024, 3), (1024, 3)]
+    assert embeddings.tables(0.93, 256, 1) < embeddings.tables(0.93, 256, 2) < 40 and embeddings.tables(0.99, 256, 1) < embeddings.tables(0.93, 256, 1)
+
+
 def test_a_group_of_near_copies_counts_all_links(spark):
     rng = np.random.default_rng(3)
     c = rng.standard_normal(32)
@@ -118,6 +145,17 @@ def test_emoji_are_no_letters():
     assert spans[1].endswith(":0:2") and spans[2].endswith(":0:2")
 
 
+def test_marks_belong_to_words_and_columns_keep_their_values(spark):
+    hindi = "हिन्दी में लिखा हुआ पाठ"
+    raw = langid._words([hindi])
+    assert len(raw[1]) == 5 and (raw[2] - raw[1]).tolist() == [len(w) for w in hindi.split()]
+    assert len(langid._words(["\u0301\u0301 \u093e"])[1]) == 0
+    data = [(i, t, lang) for lang in WORDS for i, t in enumerate(sentences(lang, 20, 7))]
+    df = spark.createDataFrame([(*r, 7.5, "own") for r in data] + [(99, "\u093e !", "en", 1.5, "own")], "doc_id long, text string, lang string, score double, lang_pred string")
+    kept = langid.keep_identified(df, langid.fit(df, ~langid.held_out()))
+    assert kept.columns == df.columns and {(r.score, r.lang_pred) for r in kept.collect()} == {(7.5, "own")} and kept.count() == len(data)
+
+
 def brute_path(scores, switch):
     best, back = scores[0].astype(float), []
     for s in scores[1:]:
@@ -267,6 +305,23 @@ def test_found_values_teach_patterns_on_either_side(spark, monkeypatch, most):
     assert got[310].spans == "id:0:8" and got[410].spans == ""
 
 
+def test_keys_on_the_tables_are_found(spark):
+    """Recall and precision of new spans over the whole table: keys in quotes after the word token, in any case."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.find(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    want = {(r.doc_id, *m.span(1)) for r in rows for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    got = {(r.doc_id, int(a), int(b)) for r in rows for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "id"}
+    assert len(want) >= 10 and got == want
+    assert all(set(filter(None, r.base_spans.split(","))) <= set(r.spans.split(",")) for r in rows)
+
+
+def test_key_shapes_are_seeds_and_alone_are_no_spans(spark):
+    digest = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(8)]
+    data = [(i, f"secret: {d}, go") for i, d in enumerate(digest[:6])] + [(10, "secret: hunter-22x."), (11, f"see {digest[6]} of it"), (12, f"see {digest[7]} there"), *((20 + i, f"see page{i}00 there") for i in range(9))]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[i] == "id:8:48" for i in range(6)) and got[10] == "id:8:18" and got[11] == got[12] == ""
+
+
 @pytest.mark.parametrize("most", [5000, 0])
 def test_redaction_follows_the_spans(spark, monkeypatch, most):
     monkeypatch.setattr(pii, "MAX_PATTERNS", most)
@@ -425,21 +480,21 @@ def test_matches_are_those_within_the_edit_budget(spark):
     got = {r.doc_id: r for r in decontaminate.find(df, b).collect()}
     index = decontaminate.build(bench)
     for i, t in enumerate(texts):
-        found = {int(m.split(":")[0]): m.split(":") for m in got[i].matches.split(",") if m}
+        found = {m.item: m for m in got[i].matches}
         assert got[i].contaminated == bool(found)
         if t is None or len(t) > 5000:
             continue
         for k, e in zip(index.items, index.edits):
-            p = folded(dict(bench)[k])
+            p = folded(dict(bench)[int(k)])
             if len(p) < decontaminate.Q:
                 assert (k in found) == (f" {p} " in f" {folded(t)} ")
                 continue
             d = brute_distance(p, folded(t))
             assert (k in found) == (d <= e), (i, k, d, e)
             if k in found:
-                _, a, z, dist = map(int, found[k])
+                a, z, dist = found[k].start, found[k].end, found[k].edits
                 assert dist == d and 0 <= a < z <= len(t) and brute_distance(p, folded(t[a:z])) <= e
-    assert "2" in {m.split(":")[0] for m in got[len(texts) - 2].matches.split(",")}
+    assert "2" in {m.item for m in got[len(texts) - 2].matches}
     assert decontaminate.find(df, b.limit(0)).where("contaminated").count() == 0 and decontaminate.find(df.limit(0), b).count() == 0
     kept = decontaminate.keep_clean(df, b)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.where("matches = 'x'").collect()) == [i for i in sorted(got) if not got[i].contaminated]
@@ -448,14 +503,34 @@ def test_matches_are_those_within_the_edit_budget(spark):
 def test_short_passage_at_the_end_beside_a_long_one():
     long, short = " ".join(f"word{i * 7919 % 1009}" for i in range(200)), "the quick brown fox jumps over it"
     text = f"{long} and then {short}"
-    assert decontaminate.search([text], decontaminate.build([(1, long), (2, short)])) == [[(1, 0, len(long), 0), (2, len(text) - len(short), len(text), 0)]]
+    assert decontaminate.search([text], decontaminate.build([(1, long), (2, short)])) == [[(0, 0, len(long), 0), (1, len(text) - len(short), len(text), 0)]]
+
+
+def test_passages_with_a_common_opening_are_counted_in_windows():
+    """Every q-gram of the opening is shared by all passages: the hits of a text are many times the window's limit."""
+    opening = " ".join(f"open{i * 7919 % 1009}" for i in range(40))
+    bench = [(i, f"{opening} item {i * 104729 % 99991} ends with {i * 7919 % 99991} here") for i in range(150)]
+    index = decontaminate.build(bench)
+    texts = [f"before it {bench[7][1]} and after it " + " ".join(f"w{i}" for i in range(50)) + bench[99][1], opening, "nothing here"]
+    want = decontaminate.search(texts, index, 1 << 40)
+    assert {m[0] for m in want[0]} >= {7, 99} and not want[2]
+    assert sum(index.starts[k + 1] - index.starts[k] for k in index.found(decontaminate.fold(texts[0])[0])[1]) > 50_000
+    assert decontaminate.search(texts, index, 500) == want and decontaminate.search(texts, index, 20_000) == want
+
+
+def test_ids_of_any_type_and_astral_letters(spark):
+    gothic = "𐌰𐌱𐌲𐌳 𐌴𐌵𐌶𐌷 𐌸𐌹"
+    bench = spark.createDataFrame([("a,b:c", "the quick brown fox jumps over"), ("emoji", "smile 😀😀 and then go home"), ("goth", gothic), (None, "text without an id of its own")], "item_id string, text string")
+    df = spark.createDataFrame([(1, "x The quick brown fox, jumps over y"), (2, "smile!!! and then go home"), (3, f"a {gothic} b"), (4, "text without an id of its own")], "doc_id long, text string")
+    got = {r.doc_id: r.matches for r in decontaminate.find(df, bench).collect()}
+    assert [m.item for m in got[1]] == ["a,b:c"] and [m.item for m in got[2]] == ["emoji"] and [m.item for m in got[3]] == ["goth"] and got[4] == []
 
 
 def test_benchmark_in_parts_finds_the_same(spark, sf_dir):
     docs, b = kit.load(spark, sf_dir, "documents"), kit.load(spark, sf_dir, "benchmark")
-    whole = [m for t in docs.toPandas().text for m in decontaminate.search([t], decontaminate.parts(b)[0])[0]]
-    parts = decontaminate.parts(b, most=500)
-    assert len(parts) > 3 and sorted(m for t in docs.toPandas().text for p in parts for m in decontaminate.search([t], p)[0]) == sorted(whole)
+    assert len(list(decontaminate.parts(b, most=2000))) > 2
+    whole, parts = (rows_of(decontaminate.find(docs, b, most=n).select("doc_id", F.to_json("matches").alias("m")), "doc_id", "m") for n in (decontaminate.PART_CHARS, 2000))
+    assert whole == parts and any(len(m) > 2 for _, m in whole)
     exact = {(r.doc_id, i) for r in docs.collect() for i, t in b.collect() if t in r.text}
     got = {(r.doc_id, int(m.split(":")[0])) for r in queries.op7_decontamination(spark, sf_dir).collect() for m in r.matches.split(",") if m}
     assert exact <= got
@@ -510,6 +585,38 @@ def test_fingerprint_links_on_chosen_bits(spark):
     assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in edges.collect())
 
 
+def test_the_count_filter_rejects_and_dense_lists_are_looked_up(spark, monkeypatch):
+    left = np.array([0x000000, 0x010101, 0x000101, 0x000003, 0x000007], dtype=np.int64)
+    assert simhash.tally(left[0], left).tolist() == [8, 5, 6, 7, 7]
+    assert simhash.linked(np.full(5, left[0]), left).tolist() == [True, False, True, True, False]
+    assert {frozenset(p) for p in np.ndindex(8, 8) if p[0] != p[1]} == {frozenset((a, b)) for t in simhash.LEFT_OUT for a in t for b in t if a != b}
+    rng = np.random.default_rng(8)
+    near = np.unique(rng.integers(0, 2**12, 900)) * 2**20 + int(rng.integers(2**38)) * 2**24
+    far = rng.integers(-(2**62), 2**62, 300)
+    values = sorted({int(v) for v in np.concatenate([near, far])})
+    df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    linked = [(i, j) for i, a in enumerate(values) for j in range(i) if ((a ^ values[j]) & (2**64 - 1)).bit_count() <= 2]
+    low = smallest_reachable(len(values), linked)
+    for short in (simhash.SHORT, 4):
+        monkeypatch.setattr(simhash, "SHORT", short)
+        got = {r.id: r.component for r in kit.components(simhash.links(df)).collect()}
+        assert [got.get(v, v) for v in values] == [values[i] for i in low]
+
+
+def test_groups_of_sorted_batches_stay_whole():
+    rng = np.random.default_rng(9)
+    k, v = np.sort(rng.integers(0, 40, 500)), rng.integers(0, 9, 500)
+    whole = pa.RecordBatch.from_pydict({"k": k, "v": v})
+    for cuts in ([], [1, 2, 3, 250], list(range(500)), [499]):
+        batches = [whole.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, 500])]
+        got = list(kit.whole_groups(iter(batches), ["k"]))
+        assert pa.Table.from_batches([b for b, _ in got]).to_pydict() == whole.to_pydict()
+        assert sum(len(s) for _, s in got) == len(set(k.tolist())) and all(set(np.diff(np.asarray(b["k"]))[s[1:] - 1]) - {0} == set(np.diff(np.asarray(b["k"]))) - {0} for b, s in got)
+    assert list(kit.whole_groups(iter([]), ["k"])) == []
+    i, j = kit.pairs_within(np.array([0, 3, 4]), np.array([3, 1, 2]))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1100)] + [(-5, 1050), (7, 7)]
     got = {r.id: r.component for r in kit.components(spark.createDataFrame(edges, "a long, b long")).collect()}

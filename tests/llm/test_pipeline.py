@@ -18,11 +18,11 @@ def test_each_stage_keeps_what_it_should(spark, sf_dir, tmp_path):
         seen.append((len(had), len(ids)))
         if name == "language":
             labels = langid.identify(before, langid.fit(before, ~langid.held_out()))
-            assert ids == {r.doc_id for r in labels.collect() if r.lang_pred != "und" and r.score >= 0.5} and len(ids) >= 0.9 * len(had)
+            assert ids == {r.doc_id for r in labels.collect() if r.lang_pred != "und"} and len(ids) >= 0.9 * len(had)
         elif name == "near_duplicates":
             assert ids == {r.doc_id for r in simhash.near_duplicates(before).where("doc_id = component_id").collect()}
         elif name == "decontamination":
-            index = decontaminate.parts(kit.load(spark, sf_dir, "benchmark"))[0]
+            index = next(decontaminate.parts(kit.load(spark, sf_dir, "benchmark")))
             assert ids == {i for i, t in had.items() if not decontaminate.search([t], index)[0]}
         elif name == "personal_data":
             assert ids == set(had) and pii.find(docs).where("n_email + n_ip + n_phone > 0").count() == 0
