@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 from assay.llm import decontaminate, embeddings, kit, langid, lmscore, pii, shards, simhash, subword, tokencount, urlfilter
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Hosts that the URL list blocks where no rule fits.
-BLOCKED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: The URL list of the query, by rule: first word, second word and top level of a host, and numbered hosts.
+FIRST = "ads adult bargain bets casino cheap click coupon dating fake free games loan lucky pills poker prize promo replica slots spam sweep vip warez win".split()
+SECOND = "bets box cash club deals farm hub land mart offers pills site store track win x zone".split()
+TOPS = "com net org info biz".split()
+NUMBERED = 200_000
 ARRIVALS = 4
 
 
+def block_list(spark: SparkSession) -> DataFrame:
+    word = lambda words, to: F.explode(F.array(*map(F.lit, words))).alias(to)
+    named = spark.range(1).select(word(FIRST, "a")).select("a", word(SECOND, "b")).select("a", "b", word(TOPS, "t"))
+    numbered = spark.range(NUMBERED).select(F.concat(F.lit("h"), "id", F.lit(".node.example.com")).alias("entry"))
+    return named.select(F.concat("a", F.lit("-"), "b", F.lit(".example."), "t").alias("entry")).unionByName(numbered)
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(kit.load(spark, sf_dir, "embeddings"))
 
@@ -56,20 +66,20 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in four batches; the store is compacted and cleared of what was merged, and its rows are read back."""
+    """Documents arrive in four batches, written in one pass; the store is compacted and cleared of what was merged, and its rows are read back."""
     docs = kit.load(spark, sf_dir, "documents")
-    store = shards.ShardStore(spark, kit.new_folder(spark, "shards"))
+    store, landing = shards.ShardStore(spark, kit.new_folder(spark, "shards"), docs.schema), kit.new_folder(spark, "landing")
     batch = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(ARRIVALS))
-    for k in range(ARRIVALS):
-        store.append(docs.where(batch == k))
+    docs.withColumn("_batch", batch).write.partitionBy("_batch").option("maxRecordsPerFile", store.shard_rows()).parquet(landing)
+    for folder in store.folders(landing):
+        store.adopt(folder, docs.schema)
     store.compact()
     store.vacuum()
-    rows = store.read()
-    return rows.select("doc_id", "n_chars", F.xxhash64(*docs.columns).alias("row_xxhash64"), F.substring_index("_metadata.file_path", "/data/", -1).alias("shard"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(kit.load(spark, sf_dir, "pages"), RULES, BLOCKED)
+    return urlfilter.judge(kit.load(spark, sf_dir, "pages"), RULES, block_list(spark))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +95,16 @@ def _op10_sql() -> str:
         fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
         case_rule += f" WHEN {fits} THEN '{h}{p}'"
         case_verdict += f" WHEN {fits} THEN '{v}'"
-    listed = " OR ".join(f"host = '{b}' OR ends_with(host, '.{b}') OR host || path = '{b}'" for b in BLOCKED)
+    words = lambda x: f"(SELECT unnest({x!r}))"
     lower = "translate(regexp_extract({}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
     WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     b AS (SELECT page_id, {lower.format('rest')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-    c AS (SELECT *, ({listed}) AS listed FROM b)
+    entries AS (SELECT x.a || '-' || y.b || '.example.' || z.t AS entry FROM {words(FIRST)} x(a), {words(SECOND)} y(b), {words(TOPS)} z(t)
+        UNION ALL SELECT 'h' || n || '.node.example.com' FROM range({NUMBERED}) r(n)),
+    names AS (SELECT DISTINCT host, path, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) || [host || path]) AS name FROM b WHERE host <> ''),
+    hit AS (SELECT DISTINCT host, path FROM names JOIN entries ON name = entry),
+    c AS (SELECT b.*, hit.host IS NOT NULL AS listed FROM b LEFT JOIN hit ON b.host = hit.host AND b.path = hit.path)
     SELECT page_id, host, path, CASE{case_rule} ELSE NULL END AS rule,
            coalesce(CASE{case_verdict} ELSE NULL END, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
     FROM c"""
@@ -109,6 +123,8 @@ n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT c.id AS vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.id = c.component_id AS kept
 FROM c LEFT JOIN n ON n.a = c.id"""
 
-ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op10_url_filter": _op10_sql()}
+OP9_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+ORACLE_SQL = {"op1_embedding_near_dedup": OP1_SQL, "op9_sharding": OP9_SQL, "op10_url_filter": _op10_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

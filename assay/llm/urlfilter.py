@@ -1,23 +1,24 @@
 """URL filters over a sorted digest array.
 
-The block list is kept as three files: sorted 64-bit xxhash keys, offsets, and the full strings in the keys' order. Spark
-ships them to every executor, which maps them into memory; a slice of URLs is probed by one vectorised binary search, and a
-key that is found counts only if the stored string is the same. Entries are a host, which stands for its subdomains too,
-or host/path. Rules (host, path) come first: a rule fits its host and subdomains if the URL's path starts with the rule's
-path; the longest wins (host, then path), and block wins a tie. A URL that no rule fits is blocked if the list holds its
-host, a parent domain or its host and path, else allowed.
-
-Beyond `MAX_LIST_BYTES` the list isn't shipped; the same entries are joined by Spark on digest and string.
-
-Cases: a null URL or one without `://` has an empty host and path, no rule, and is allowed; an empty list blocks nothing;
-null and repeated entries change nothing; repeated URLs get the same answer; other columns are ignored.
+The block list is a table of entries. Spark hashes its strings, sorts them by their keys as unsigned numbers and packs them, and
+the driver writes them, a chunk at a time, to three files in the shared folder: sorted 64-bit xxhash keys, offsets, and the full
+strings in the keys' order. Spark ships those to every executor, which maps them into memory; a slice of URLs is probed by one
+vectorised binary search, and a key that is found counts only if the stored string is the same. Entries are a host, which
+stands for its subdomains too, or host/path. Rules (host, path) come first: a rule fits its host and subdomains if the URL's
+path starts with the rule's path; the longest wins (host, then path), and block wins a tie. A URL that no rule fits is blocked
+if the list holds its host, a parent domain or its host and path, else allowed.
+
+A list over `MAX_LIST_BYTES` isn't shipped; its entries are joined by Spark on digest and string, with the same answers.
+
+Cases: a null URL or one without `://` has an empty host and path, no rule, and is allowed; URLs of any length are read whole;
+an empty list blocks nothing; null, empty and repeated entries change nothing; repeated URLs get the same answer; empty tables
+work; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -31,22 +32,23 @@ from pyspark.sql import types as T
 from assay.llm import kit
 
 MAX_LIST_BYTES = 2_000_000_000
+#: Parts of the digest array; each is a file.
+PARTS = ("keys", "at", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first `://`."""
+    return F.substring(url, F.instr(url, "://") + 3, F.length(url))
+
+
 def host_of(url: Column) -> Column:
-    after = F.substring_index(F.expr(f"substring({_sql(url)}, instr({_sql(url)}, '://') + 3)"), "/", 1)
-    host = F.substring_index(F.substring_index(after, "?", 1), "#", 1)
+    host = F.regexp_extract(_rest(url), "^[^/?#]*", 0)
     return F.when(F.instr(url, "://") > 0, F.translate(host, UPPER, LOWER)).otherwise("")
 
 
 def path_of(url: Column) -> Column:
-    rest = F.expr(f"substring({_sql(url)}, instr({_sql(url)}, '://') + 3)")
-    return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
-
-
-def _sql(url: Column) -> str:
-    return "`_url`"
+    return F.when(F.instr(url, "://") > 0, F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -59,25 +61,59 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def write_list(entries: list[str | None], folder: str) -> str:
-    """Three files of the sorted digest array; their common name."""
-    encoded = sorted({(xxhash.xxh64_intdigest(b), b) for x in entries if x for b in [x.encode()]})
-    name = os.path.join(folder, f"urls-{uuid.uuid4().hex}")
-    np.save(f"{name}.keys.npy", np.array([k for k, _ in encoded], dtype=np.uint64))
-    np.save(f"{name}.at.npy", np.cumsum([0, *(len(b) for _, b in encoded)]).astype(np.int64))
-    np.save(f"{name}.text.npy", np.frombuffer(b"".join(b for _, b in encoded), dtype=np.uint8))
-    return name
+def distinct_entries(block: DataFrame, entry: str = "entry") -> DataFrame:
+    return block.select(F.col(entry).alias("entry")).where("entry <> ''").distinct()
+
+
+def packed(entries: DataFrame) -> DataFrame:
+    """(keys, sizes, text) of entries in the order of their keys, as bytes of some thousand entries a row."""
+    keyed = entries.select(F.xxhash64("entry").alias("key"), F.encode("entry", "utf-8").alias("text"))
+    ordered = keyed.orderBy(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "text")  # as unsigned numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            row = [np.asarray(batch["key"]).tobytes(), sizes.tobytes(), b"".join(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["keys", "sizes", "text"])
+
+    return ordered.mapInArrow(run, "keys binary, sizes binary, text binary")
+
+
+def write_list(entries: DataFrame, name: str) -> None:
+    """Three files of the sorted digest array beside each other, by Hadoop's file system; the driver holds one chunk."""
+    context = entries.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    system = path(name).getFileSystem(context._jsc.hadoopConfiguration())
+    files = {x: system.create(path(f"{name}.{x}"), False) for x in PARTS}
+    try:
+        files["at"].write(bytearray(np.zeros(1, dtype=np.int64).tobytes()))
+        end = 0
+        for r in packed(entries).toLocalIterator():
+            ends = end + np.cumsum(np.frombuffer(r.sizes, dtype=np.int64))
+            end = int(ends[-1])
+            for x, data in (("keys", r["keys"]), ("at", ends.tobytes()), ("text", r.text)):
+                files[x].write(bytearray(data))
+    finally:
+        for f in files.values():
+            f.close()
+
+
+def hashed(text: bytes) -> int:
+    """The key of an entry: Spark's xxhash64 of a string."""
+    return xxhash.xxh64_intdigest(text, 42)
 
 
 class DigestArray:
     """The block list, mapped into memory."""
 
-    def __init__(self, name: str, hasher=xxhash.xxh64_intdigest) -> None:
-        self.keys, self.at, self.text = (np.load(f"{name}.{x}.npy", mmap_mode="r") for x in ("keys", "at", "text"))
+    def __init__(self, name: str, hasher=hashed) -> None:
+        mapped = lambda x, kind: np.memmap(f"{name}.{x}", dtype=kind, mode="r") if os.path.getsize(f"{name}.{x}") else np.zeros(0, dtype=kind)
+        self.keys, self.at, self.text = mapped("keys", np.uint64), mapped("at", np.int64), mapped("text", np.uint8)
         self.hasher = hasher
 
     def has(self, strings: list[str]) -> np.ndarray:
-        encoded = [s.encode() for s in strings]
+        encoded = [s.encode("utf-8", "surrogatepass") for s in strings]
         want = np.array([self.hasher(b) for b in encoded], dtype=np.uint64)
         lo = np.searchsorted(self.keys, want, side="left")
         hi = np.searchsorted(self.keys, want, side="right")
@@ -88,8 +124,8 @@ class DigestArray:
 
 
 @cache
-def _opened(keys: str) -> DigestArray:
-    return DigestArray(SparkFiles.get(keys)[: -len(".keys.npy")])
+def _opened(name: str) -> DigestArray:
+    return DigestArray(SparkFiles.get(name))
 
 
 def names_of(host: str, path: str) -> list[str]:
@@ -108,35 +144,34 @@ def _listed(hosts: list[str], paths: list[str], of: DigestArray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(names)), sizes), weights=hit, minlength=len(names)) > 0
 
 
-def judge(df: DataFrame, rules: list[tuple[str, str, str]], block: list[str | None], key: str = "page_id", url: str = "url", most: int = MAX_LIST_BYTES) -> DataFrame:
-    """(key, host, path, rule, verdict, listed) of every row."""
+def judge(df: DataFrame, rules: list[tuple[str, str, str]], block: DataFrame, key: str = "page_id", url: str = "url", most: int = MAX_LIST_BYTES) -> DataFrame:
+    """(key, host, path, rule, verdict, listed) of every row. block: entry."""
     rows = df.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
     rows = rows.select("_key", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
-    if sum(len(x) + 16 for x in block if x) <= most:
-        rows = _probe(rows, block)
-    else:
-        rows = _joined(rows, block)
+    entries = kit.cut(distinct_entries(block))
+    size = entries.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
+    rows = _probe(rows, entries) if size <= most else _joined(rows, entries)
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     by_list = F.when(F.col("_listed"), "block").otherwise("allow")
     return rows.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), F.col("_listed").alias("listed"))
 
 
-def _probe(rows: DataFrame, block: list[str | None]) -> DataFrame:
+def _probe(rows: DataFrame, entries: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
-    name = write_list(block, tempfile.mkdtemp(prefix="urls-"))
-    for x in ("at", "text", "keys"):
-        context.addFile(f"{name}.{x}.npy")
-    keys = os.path.basename(f"{name}.keys.npy")
+    name = kit.new_folder(rows.sparkSession, "urls")
+    write_list(entries, name)
+    for x in PARTS:
+        context.addFile(f"{name}.{x}")
+    own = name.rsplit("/", 1)[-1]
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(_listed(batch.column("_host").to_pylist(), batch.column("_path").to_pylist(), _opened(keys)))]
+        return [pa.array(_listed(batch.column("_host").to_pylist(), batch.column("_path").to_pylist(), _opened(own)))]
 
     return kit.append(rows, [T.StructField("_listed", T.BooleanType())], "_path", work)
 
 
-def _joined(rows: DataFrame, block: list[str | None]) -> DataFrame:
-    spark = rows.sparkSession
-    entries = spark.createDataFrame([(x,) for x in {b for b in block if b}], "entry string").select("entry", F.xxhash64("entry").alias("digest"))
+def _joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    entries = entries.select("entry", F.xxhash64("entry").alias("digest"))
     labels = F.split("_host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     wanted = rows.where("_host <> ''").select("_host", "_path").distinct()
