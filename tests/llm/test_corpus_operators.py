@@ -632,16 +632,17 @@ def test_shards_survive_appends_compaction_and_conflicts(spark, sf_dir):
     assert store.versions() == [] and store.manifest().count() == 0 and store.append(docs.limit(0)) is None
     for k in range(5):
         store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == k).repartition(3))
-    before = store.manifest().count()
+    before = store.manifest().collect()
     want = rows_of(docs, *docs.columns)
-    assert store.versions() == [1, 2, 3, 4, 5] and rows_of(store.read(), *docs.columns) == want
-    store.compact(target=400_000)
+    assert store.versions() == [1, 2, 3, 4, 5] and rows_of(store.read(), *docs.columns) == want and len(before) == 5
+    target = 400_000
+    store.compact(target=target)
     after = store.manifest().collect()
-    assert len(after) < before and rows_of(store.read(), *docs.columns) == want and sum(r.rows for r in after) == len(want)
+    assert sum(r.files for r in after) < sum(r.files for r in before) and rows_of(store.read(), *docs.columns) == want and sum(r.rows for r in after) == len(want)
     assert rows_of(store.read(5), *docs.columns) == want
     base = store.versions()[-1]
-    files = store.manifest()
-    assert store.publish(files, base) and not store.publish(files, base)
+    runs = store.manifest()
+    assert store.publish(runs, base, docs.schema) and not store.publish(runs, base, docs.schema)
     results = []
     threads = [threading.Thread(target=lambda: results.append(store.append(docs.limit(3)))) for _ in range(3)]
     [t.start() for t in threads]
@@ -649,7 +650,42 @@ def test_shards_survive_appends_compaction_and_conflicts(spark, sf_dir):
     assert len(set(results)) == 3 and store.read().count() == len(want) + 9
     store.read().limit(1).write.parquet(f"{store.root}/data/abandoned")
     gone = store.vacuum()
-    assert gone >= before + 1 and store.read().count() == len(want) + 9 and store.vacuum() == 0
+    assert gone >= len(before) + 1 and store.read().count() == len(want) + 9 and store.vacuum() == 0
+    with pytest.raises(ValueError):
+        store.append(docs.select("doc_id"))
+
+
+def test_compaction_leaves_no_tier_due_and_files_of_about_the_target(spark, monkeypatch):
+    """Against a count of the files on disk: sizes and rows are as the manifest says, and small files are fewer than a tier needs."""
+    import glob
+    import os
+
+    monkeypatch.setattr(shards, "SHARD_BYTES", 30_000)
+    monkeypatch.setattr(shards, "ROW_BYTES", 100)
+    store = shards.ShardStore(spark, kit.new_folder(spark, "tiers"))
+    made = lambda n, seed: spark.range(n).select("id", F.sha2(F.concat("id", F.lit(seed)), 512).alias("text"))
+    for n, seed in ((3000, 1), (300, 2), (300, 3), (20, 4), (20, 5), (20, 6), (2500, 7)):
+        store.append(made(n, seed).repartition(2))
+    files = lambda r: [os.path.getsize(f) for f in glob.glob(f"{store.root}/{r.run}/*.parquet")]
+    runs = store.manifest().collect()
+    assert all((len(files(r)), sum(files(r))) == (r.files, r.bytes) for r in runs)
+    assert max(max(files(r)) for r in runs[2:]) < 3 * 30_000 and max(r.files for r in runs) > 2
+    target = 200_000
+    store.compact(target)
+    runs = store.manifest().collect()
+    sizes = [s for r in runs for s in files(r)]
+    assert store.due(target).count() == 0 and all((len(files(r)), sum(files(r))) == (r.files, r.bytes) for r in runs)
+    small = [s for s in sizes if 2 * s <= target]
+    tiers = [int(np.floor(np.log(target / s) / np.log(shards.FANOUT))) for s in small]
+    assert all(tiers.count(t) < shards.FANOUT for t in tiers) and max(sizes) < 2 * target and sum(r.rows for r in runs) == 6160
+    assert store.compact(target) is None
+
+
+def test_sharding_query_on_documents_and_on_an_empty_table(spark, sf_dir, tmp_path):
+    kit.load(spark, sf_dir, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op9_sharding(spark, str(tmp_path)).count() == 0
+    docs = kit.load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+    assert rows_of(queries.op9_sharding(spark, sf_dir), *docs.columns) == rows_of(docs, *docs.columns)
 
 
 # 10
@@ -664,17 +700,33 @@ def test_url_verdicts(spark):
     }
     data = [(i, u, "x") for i, u in enumerate(urls)] + [(0, "http://A.Example.com/en/1", "x")]
     df = spark.createDataFrame(data, "page_id long, url string, host string")
-    block = [*queries.BLOCKED, "h/pa", None, "", "h/pa"]
+    block = queries.block_list(spark).unionByName(spark.createDataFrame([("h/pa",), (None,), ("",), ("h/pa",)], "entry string"))
     for most in (urlfilter.MAX_LIST_BYTES, 0):
         got = urlfilter.judge(df, queries.RULES, block, most=most).collect()
         assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got if r.page_id or r) == sorted([(i, *v) for i, v in enumerate(urls.values())] + [(0, *next(iter(urls.values())))], key=lambda x: (x[0], x[1:]))
-    assert urlfilter.judge(df, [], []).where("verdict <> 'allow'").count() == 0 and urlfilter.judge(df.limit(0), queries.RULES, block).count() == 0
+    assert urlfilter.judge(df, [], block.limit(0)).where("verdict <> 'allow'").count() == 0 and urlfilter.judge(df.limit(0), queries.RULES, block).count() == 0
 
 
-def test_digest_collisions_are_confirmed_by_string(tmp_path):
-    name = urlfilter.write_list(["a.b", "c.d"], str(tmp_path))
-    found = urlfilter.DigestArray(name, hasher=lambda b: xxhash.xxh64_intdigest(b"a.b") if b == b"other" else xxhash.xxh64_intdigest(b))
-    assert found.has(["a.b", "other", "c.d", "x"]).tolist() == [True, False, True, False]
+def test_digest_collisions_are_confirmed_by_string(spark, tmp_path):
+    words = [f"w{i}.é" for i in range(5000)]
+    urlfilter.write_list(spark.createDataFrame([("a.b",), ("c.d",), *((w,) for w in words)], "entry string").repartition(5), f"{tmp_path}/list")
+    found = urlfilter.DigestArray(f"{tmp_path}/list", hasher=lambda b: urlfilter.hashed(b"a.b") if b == b"other" else urlfilter.hashed(b))
+    assert found.has(["a.b", "other", "c.d", "x"]).tolist() == [True, False, True, False] and found.has(words).all() and not found.has([w + "x" for w in words]).any()
+    assert (np.diff(found.keys.astype(object)) > 0).all() and len(found.keys) == 5002
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df, want = queries.QUERIES[name](spark, sf_dir), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    order = [want.columns.index(c) for c in df.columns]
+    got = df.collect()
+    assert len(got) and sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall())
 
 
 # contract
