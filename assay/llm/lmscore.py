@@ -4,21 +4,27 @@ The vocabulary is the lower-case words of the whole corpus, and every bigram is
 bits (two of a hundred million keys are one with a chance of 1 in 2,000). The target model counts the chosen rows, the
 background model all rows, with the same orders, keys and smoothing: a bigram's relative frequency and a word's add-one
 frequency are mixed by the Witten-Bell-like weight n(v) / (n(v) + `PRIOR`). A document's score is the mean over its tokens of
-the loss under the target less the loss under the background: low is like the target.
+the loss under the target less the loss under the background: low is like the target. No document is scored by its own counts:
+they are taken out of both models for it (out of the target model if it is chosen), so chosen rows are held out as all others
+are, and a text that occurs twice is known from its other copy.
 
 Counts grow with the corpus and are never gathered. Rows are dealt into parts by a hash of themselves. A part sends its
 distinct keys with its counts, sorted, to the buckets of the keys; a bucket adds up what all parts have sent and answers each
 part in the order it asked, so the answers hold counts alone; the part then finds its keys again in its own texts. Parts and
 buckets are `SPLIT` to a shuffle partition, which bounds both; rows that are alike in all columns share a part.
 
-Cases: a null or wordless text has 0 tokens and null losses; rows whose label is missing are background alone; a label
-that is repeated counts if any of its rows is chosen; repeated rows are counted each; without target rows the target model
-is uniform; empty tables work; columns named like the results are replaced.
+Which rows are chosen is told by their keys: a narrow join finds the parts that chosen keys are in, and each part gets its own.
+So texts are shuffled once, to their parts, and nothing is shipped to all tasks, however many keys there are.
+
+Cases: a null or wordless text has 0 tokens and null losses; texts of any length are read whole, in slices; rows whose label is
+missing or whose key is null are background alone; a label that is repeated counts if any of its rows is chosen; repeated rows
+are counted each; without target rows the target model is uniform; empty tables work; columns named like the results are
+replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +36,6 @@ from pyspark.sql import types as T
 from assay.llm import kit
 
 PRIOR = 5.0
-#: Ids of chosen rows that a task may hold.
-MAX_IDS = 2_000_000
 #: Parts, and buckets of keys, for each shuffle partition.
 SPLIT = 2
 #: Texts of a part are read in slices of so many code units; a part rarely has more.
@@ -99,16 +103,15 @@ def keys_of(words: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([words, bigrams(words, n)[0], np.full(int((n > 0).sum()), START)])
 
 
-def gathered(rows: pa.Table | pa.RecordBatch, text: str, target: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def gathered(rows: pa.Table | pa.RecordBatch, text: str, chosen: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of a table's texts in order, and their counts in chosen texts and in all."""
     found = []
     for part, words, n in read(rows, text):
         keys, every = distinct(keys_of(words, n))
         counts = np.zeros(len(keys), dtype=np.int64)
-        if target is not None:
-            on = np.asarray(pc.fill_null(part[target], False))
-            own, times = distinct(keys_of(words[np.repeat(on, n)], n[on]))
-            counts[np.searchsorted(keys, own)] = times
+        on = chosen(part)
+        own, times = distinct(keys_of(words[np.repeat(on, n)], n[on]))
+        counts[np.searchsorted(keys, own)] = times
         found.append((keys, counts, every))
     if len(found) == 1:
         return found[0]
@@ -174,72 +177,103 @@ class Model:
         self.used = max(sum(r["words"] for r in told), 1)
         self.total = [sum(r[name] for r in told) for name in ("target_tokens", "background_tokens")]
 
-    def scores(self, words: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    def scores(self, words: np.ndarray, n: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+        """Results of texts. own: of each text, whether the target and the background model hold its counts, to be taken out."""
         of = np.repeat(np.arange(len(n)), n)
+        first = (np.cumsum(n) - n)[n > 0]
         pair = np.searchsorted(self.keys, bigrams(words, n)[0])
         word = self.word[np.searchsorted(self.keys[self.word], words)] if len(words) else np.zeros(0, dtype=np.int64)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[(np.cumsum(n) - n)[n > 0]] = 0  # START is the smallest key
+
+        def shifted(x: np.ndarray, start: int) -> np.ndarray:
+            out = np.empty_like(x)
+            out[1:] = x[:-1]
+            out[first] = start
+            return out
+
+        before = shifted(word, 0)  # START is the smallest key
+        own_pair, own_word = (times_in_text(of, x, len(self.keys)) for x in (pair, word))
+        own_before = shifted(own_word, 1)
         mean = []
         for k in (0, 1):
-            low = (self.counts[k][word] + 1.0) / (self.total[k] + self.used + 1.0)
-            seen = self.counts[k][before]
-            high = np.minimum(self.counts[k][pair] / np.maximum(seen, 1.0), 1.0)
+            out = own[k][of].astype(np.float64)
+            low = (self.counts[k][word] - out * own_word + 1.0) / (self.total[k] - out * n[of] + self.used + 1.0)
+            seen = self.counts[k][before] - out * own_before
+            high = np.minimum((self.counts[k][pair] - out * own_pair) / np.maximum(seen, 1.0), 1.0)
             weight = seen / (seen + PRIOR)
             mean.append(np.bincount(of, weights=-np.log(weight * high + (1 - weight) * low), minlength=len(n)) / np.maximum(n, 1))
         return [pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), mask=n == 0) for x in (mean[0], mean[1], mean[0] - mean[1]))]
 
 
-def count(df: DataFrame, text: str, target: str) -> DataFrame:
-    """(key, target, background) of all words, bigrams and starts of texts that occur, with their counts."""
+def times_in_text(of: np.ndarray, keys: np.ndarray, n_keys: int) -> np.ndarray:
+    """Of each token, how often its key occurs in its text."""
+    both = of * n_keys + keys
+    order = np.argsort(both, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(both)])
+    out = np.empty(len(both), dtype=np.int64)
+    times = np.diff(np.append(at, len(both)))
+    out[order] = np.repeat(times, times)
+    return out
+
+
+def chosen_keys(labels: DataFrame, key: str = "doc_id", where: str = "quality = 1") -> DataFrame:
+    """(key) of the rows that labels choose, each once."""
+    return labels.where(F.expr(where) & F.col(key).isNotNull()).select(key).distinct()
+
+
+def count(df: DataFrame, chosen: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, target, background) of all words, bigrams and starts of texts that occur, with their counts. A model for other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, chosen, every = gathered(batch, "_text", "_target")
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(chosen), pa.array(every)], names=["key", "target", "background"])
+            keys, on, every = gathered(batch, "_text", lambda part: np.asarray(part["_target"]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(on), pa.array(every)], names=["key", "target", "background"])
 
-    rows = df.select(F.col(text).alias("_text"), F.col(target).alias("_target"))
+    told = chosen.select(F.col(key).alias("_chosen")).distinct()
+    rows = df.select(F.col(text).alias("_text"), F.col(key).alias("_key")).join(told, F.col("_key") == F.col("_chosen"), "left").select("_text", F.col("_chosen").isNotNull().alias("_target"))
     return rows.mapInArrow(run, "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def score(df: DataFrame, model: DataFrame | None = None, text: str = "text", target: str | None = None) -> DataFrame:
-    """df with n_tokens, ce_target, ce_background and ce_difference, by a model of count() or, without one, by the counts of df itself."""
+def score(df: DataFrame, chosen: DataFrame | None = None, model: DataFrame | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """df with n_tokens, ce_target, ce_background and ce_difference, by the counts of df itself and of its chosen rows, or by a model of count()."""
     pieces = SPLIT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alone = model is None
-    own = target if alone else None
     fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "ce_difference"))]
     base = df.drop(*[f.name for f in fields if f.name in df.columns])
     plain = [F.col(f"`{f.name}`") for f in base.schema.fields if f.name == text or isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
-    placed = base.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(pieces)).cast("int"))
+    placed = base.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(pieces)).cast("int")).withColumn("_key", F.col(key).cast("string"))
     kept = T.StructType([*base.schema.fields, *fields])
     names = base.columns
+    told = chosen.select(F.col(key).cast("string").alias("_key")).where("_key IS NOT NULL").distinct() if alone and chosen is not None else df.sparkSession.createDataFrame([], "_key string")
+    places = kit.cut(placed.select("_part", "_key").join(told, "_key").select("_part", "_key").distinct())
+    places = places.select(*(F.col(c).alias(c) for c in places.columns))  # columns of their own beside those of placed
+
+    def among(keys: pa.Table) -> Callable[[pa.RecordBatch], np.ndarray]:
+        known = keys["_key"].combine_chunks().drop_null()
+        return lambda part: np.asarray(pc.is_in(part["_key"], value_set=known))
 
-    def ask(rows: pa.Table) -> pa.Table:
-        keys, chosen, every = gathered(rows, text, own)
-        return asked(rows["_part"][0].as_py(), keys, chosen, every if alone else np.zeros_like(every), pieces)
+    def ask(rows: pa.Table, keys: pa.Table) -> pa.Table:
+        found, on, every = gathered(rows, text, among(keys))
+        return asked(rows["_part"][0].as_py(), found, on, every if alone else np.zeros_like(every), pieces)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, _, chosen, every = summed(np.asarray(batch["key"]).view(np.uint64), np.asarray(batch["target"]), np.asarray(batch["background"]))
-            yield from asked(None, keys, chosen, every, pieces).to_batches()
+            keys, _, target, every = summed(np.asarray(batch["key"]).view(np.uint64), np.asarray(batch["target"]), np.asarray(batch["background"]))
+            yield from asked(None, keys, target, every, pieces).to_batches()
 
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        on = among(answers)
         parts = list(read(rows, text))
         keys = distinct(np.concatenate([distinct(keys_of(words, n))[0] for _, words, n in parts]))[0]
-        told = Model(keys, answers, pieces)
-        out = [pa.RecordBatch.from_arrays([*(part[c] for c in names), *told.scores(words, n)], names=[*names, *(f.name for f in fields)]) for part, words, n in parts]
+        told = Model(keys, answers.filter(pc.is_null(answers["_key"])), pieces)
+        out = []
+        for part, words, n in parts:
+            own = (on(part), np.full(len(n), alone))
+            out.append(pa.RecordBatch.from_arrays([*(part[c] for c in names), *told.scores(words, n, own)], names=[*names, *(f.name for f in fields)]))
         return pa.Table.from_batches(out)
 
-    sent = placed.groupBy("_part").applyInArrow(ask, ASKED)
+    sent = placed.groupBy("_part").cogroup(places.groupBy("_part")).applyInArrow(ask, ASKED)
     if not alone:
         sent = sent.union(model.select("key", "target", "background").mapInArrow(give, ASKED))
-    answers = sent.groupBy("_bucket").applyInArrow(answer, ANSWERED)
+    answers = sent.groupBy("_bucket").applyInArrow(answer, ANSWERED).withColumn("_key", F.lit(None).cast("string"))
+    answers = answers.unionByName(places, allowMissingColumns=True)
     return placed.groupBy("_part").cogroup(answers.groupBy("_part")).applyInArrow(finish, kept)
-
-
-def with_target(df: DataFrame, labels: DataFrame, key: str = "doc_id", chosen: str = "quality = 1", to: str = "_target") -> DataFrame:
-    """df with whether the labels choose the row. Up to MAX_IDS ids are shipped, so texts stay where they are; more are joined by a shuffle."""
-    ids = kit.cut(labels.where(F.expr(chosen) & F.col(key).isNotNull()).select(F.col(key).alias("_chosen")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
-    return df.join(ids, df[key] == ids["_chosen"], "left").withColumn(to, F.col("_chosen").isNotNull()).drop("_chosen")

@@ -46,7 +46,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kit.load(spark, sf_dir, "documents").select("doc_id", "text")
-    return lmscore.score(lmscore.with_target(docs, kit.load(spark, sf_dir, "labels")), target="_target").drop("text", "_target")
+    return lmscore.score(docs, lmscore.chosen_keys(kit.load(spark, sf_dir, "labels"))).drop("text")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
