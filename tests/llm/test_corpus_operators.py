@@ -335,29 +335,39 @@ def test_redaction_follows_the_spans(spark, monkeypatch, most):
 # 5
 
 
-def test_lm_scores_match_brute_force(spark):
-    texts = ["a b c a b", "a a B", None, "", "d e f d e f  g", "a b c"]
-    data = [(i, t) for i, t in enumerate(texts)] + [(5, "a b c"), (None, "z")]
-    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, ce_target string")
-    labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (4, 0), (2, 1), (None, 1), (77, 1)], "doc_id long, quality int")
-    model = lmscore.count(lmscore.with_target(df, labels), "text", "_target")
-    got = lmscore.score(df, model).collect()
-    words = {k: [t.lower().split() for i, t in data if t and (k or i in (0, 1))] for k in (0, 1)}
-    uni = [{}, {}]
-    bi = [{}, {}]
-    for k in (0, 1):
-        for w in words[k]:
-            for p, x in zip([None, *w], w):
-                uni[k][x] = uni[k].get(x, 0) + 1
-                bi[k][p, x] = bi[k].get((p, x), 0) + 1
-    used = len(uni[1])
+def brute_lm(rows, chosen, out=()):
+    """Losses (p, x, k) -> nats by counts of rows, those of the places in `out` left out: (place, which model)."""
+    uni, bi, starts = [{}, {}], [{}, {}], [0, 0]
+    vocabulary = {x for _, t in rows for x in (t or "").lower().split()}
+    for place, (i, t) in enumerate(rows):
+        for k in (0, 1):
+            w = (t or "").lower().split()
+            if (k or i in chosen) and (place, k) not in out and w:
+                starts[k] += 1
+                for p, x in zip([None, *w], w):
+                    uni[k][x] = uni[k].get(x, 0) + 1
+                    bi[k][p, x] = bi[k].get((p, x), 0) + 1
 
     def loss(p, x, k):
-        low = (uni[k].get(x, 0) + 1) / (sum(uni[k].values()) + used + 1)
-        seen = uni[k].get(p, 0) if p else sum(1 for w in words[k] if w)
+        low = (uni[k].get(x, 0) + 1) / (sum(uni[k].values()) + len(vocabulary) + 1)
+        seen = uni[k].get(p, 0) if p else starts[k]
         weight = seen / (seen + lmscore.PRIOR)
         return -np.log(weight * bi[k].get((p, x), 0) / max(seen, 1) + (1 - weight) * low)
 
+    return loss
+
+
+LM_TEXTS = ["a b c a b", "a a B", None, "", "d e f d e f  g", "a b c"]
+LM_LABELS = [(0, 1), (1, 1), (1, 0), (4, 0), (2, 1), (None, 1), (77, 1)]
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_lm_scores_match_brute_force(spark, own):
+    """By its own counts no text is scored by itself; by a model of count() all counts stand."""
+    data = [*enumerate(LM_TEXTS), (5, "a b c"), (None, "z")]
+    df = spark.createDataFrame([(place, *r, "x") for place, r in enumerate(data)], "place int, doc_id long, text string, ce_target string")
+    chosen = lmscore.chosen_keys(spark.createDataFrame(LM_LABELS, "doc_id long, quality int"))
+    got = (lmscore.score(df, chosen) if own else lmscore.score(df, model=lmscore.count(df, chosen))).collect()
     assert len(got) == len(data)
     for r in got:
         w = (r.text or "").lower().split()
@@ -365,9 +375,11 @@ def test_lm_scores_match_brute_force(spark):
         if not w:
             assert r.ce_target is None and r.ce_difference is None
             continue
+        loss = brute_lm(data, {0, 1, 2}, {(r.place, 0), (r.place, 1)} if own else ())
         t, b = (np.mean([loss(p, x, k) for p, x in zip([None, *w], w)]) for k in (0, 1))
         assert r.ce_target == pytest.approx(t) and r.ce_background == pytest.approx(b) and r.ce_difference == pytest.approx(t - b)
 
+
 def test_lm_counts_are_exact_on_a_whole_table(spark):
     """sf0.1 has more distinct words and bigrams than any fixed number of cells of the size used before."""
     from collections import Counter
@@ -379,7 +391,7 @@ def test_lm_counts_are_exact_on_a_whole_table(spark):
     for w in rows:
         words.update(w)
         pairs.update(zip([None, *w], w))
-    model = lmscore.count(lmscore.with_target(docs, labels), "text", "_target").toPandas()
+    model = lmscore.count(docs, lmscore.chosen_keys(labels)).toPandas()
     key = model["key"].to_numpy().view(np.uint64)
     odd = (key & np.uint64(1)).astype(bool)
     every = model["background"].to_numpy()
@@ -391,13 +403,21 @@ def test_lm_counts_are_exact_on_a_whole_table(spark):
 
 
 def test_lm_scores_of_a_table_by_its_own_counts(spark, sf_dir):
+    """Sampled rows against brute force over all counts, and a copy of a text against none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    marked = lmscore.with_target(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    cols = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"]
-    own = rows_of(lmscore.score(marked, target="_target"), *cols)
-    assert len(own) == docs.count() and own == rows_of(lmscore.score(docs, lmscore.count(marked, "text", "_target")), *cols)
-    empty = docs.limit(0).withColumn("_target", F.lit(True))
-    assert lmscore.score(empty, target="_target").count() == 0
+    chosen = lmscore.chosen_keys(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows, keys = [(r.doc_id, r.text) for r in docs.collect()], {r.doc_id for r in chosen.collect()}
+    got = {r.doc_id: r for r in lmscore.score(docs, chosen).collect()}
+    assert len(got) == len(rows) and keys & set(got)
+    for place in (0, 7, 50, 101):
+        i, t = rows[place]
+        loss, w = brute_lm(rows, keys, {(place, 0), (place, 1)}), t.lower().split()
+        assert [got[i].ce_target, got[i].ce_background] == pytest.approx([np.mean([loss(p, x, k) for p, x in zip([None, *w], w)]) for k in (0, 1)])
+    once, twice = " ".join(f"u{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    both = docs.unionByName(spark.createDataFrame([(90_001, once), (90_002, twice), (90_003, twice)], "doc_id long, text string"))
+    loss = {r.doc_id: r.ce_background for r in lmscore.score(both, chosen).collect()}
+    assert loss[90_002] == loss[90_003] < loss[90_001]
+    assert lmscore.score(docs.limit(0), chosen).count() == 0 and lmscore.score(docs.limit(5), chosen.limit(0)).count() == 5
 
 
 # 6
