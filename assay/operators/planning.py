@@ -1,7 +1,7 @@
 """Planning which occurrences of names to fetch, so that few row groups are read.
 
 Names with the fewest occurrences choose first; in each round a name takes one occurrence more, from a row group that is
-read already if there is one. The choice depends on all choices before it, so it is one ordered fold by its nature. What the
+read already if there is one, and on every second round (the second, the fourth ..) rather from the preferred corpus. The choice depends on all choices before it, so it is one ordered fold by its nature. What the
 fold sees is cut first, by Spark and without changing the outcome: within a row group a name would only ever take its
 `per_name` shortest occurrences.
 
@@ -44,7 +44,7 @@ def plan(hits: DataFrame, per_name: int = 8, max_groups: int = 700, preferred: s
             for name, options in left.items():
                 if taken[name] > turn or not options:
                     continue
-                favour = preferred if turn % 2 == 0 else None
+                favour = preferred if turn % 2 else None
                 at = min(range(len(options)), key=lambda i: ((options[i].corpus, options[i].path, options[i].rg) not in groups, options[i].corpus != favour, options[i].duration, i))
                 x = options[at]
                 group = (x.corpus, x.path, x.rg)

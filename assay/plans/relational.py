@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assay.operators import clustering, intervals, ranking
+from assay.operators import audit, clustering, intervals, ranking
 from assay.sources.tables import load
 
 QUERIES: dict = {}
@@ -59,21 +59,21 @@ def latest_per_case(spark, d):
     return load(spark, d, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("x.o_orderkey").alias("last_order"), F.col("x.o_orderstatus").alias("status"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def done_cases(spark, d):
-    return load(spark, d, "customer").select("c_custkey", "c_name").join(load(spark, d, "orders").where("o_totalprice > 100000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    return load(spark, d, "customer").select("c_custkey", "c_name").join(load(spark, d, "orders").where("o_totalprice > 450000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def todo_cases(spark, d):
-    return load(spark, d, "customer").select("c_custkey", "c_name").join(load(spark, d, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return load(spark, d, "customer").select("c_custkey", "c_name").join(load(spark, d, "orders").where("o_totalprice > 450000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@query("""SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 1, 2))""")
+@query("""SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_extendedprice > 99000) AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 1, 2))""")
 def extra_names(spark, d):
     """Anti join, then semi join."""
     s = load(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    s = s.join(load(spark, d, "lineitem").where("l_quantity > 49").select("l_suppkey"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
+    s = s.join(load(spark, d, "lineitem").where("l_quantity > 49 AND l_extendedprice > 99000").select("l_suppkey"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti")
     return s.join(load(spark, d, "nation").where("n_regionkey IN (0, 1, 2)").select("n_nationkey"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
 
 
@@ -99,17 +99,16 @@ def blocked_neighbours(spark, d):
 @query("""SELECT a.p_brand AS brand, round(avg(levenshtein(a.p_name, b.p_name)), 4) AS mean_distance FROM (SELECT DISTINCT p_brand, p_name FROM part) a
 JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON a.p_brand = b.p_brand AND a.p_name < b.p_name GROUP BY a.p_brand""")
 def mean_pair_distance(spark, d):
-    """Self join i < j over distinct names of a brand."""
-    a = load(spark, d, "part").select("p_brand", "p_name").distinct()
-    b = a.select("p_brand", F.col("p_name").alias("other"))
-    return a.join(b, "p_brand").where("p_name < other").groupBy(F.col("p_brand").alias("brand")).agg(rnd(F.avg(F.levenshtein("p_name", "other"))).alias("mean_distance"))
+    """Self join i < j over distinct names of a brand; a large brand is dealt into pairs of tiles."""
+    met = ranking.pairs(load(spark, d, "part").select("p_brand", "p_name").distinct(), "p_brand", "p_name")
+    return met.groupBy(F.col("p_brand").alias("brand")).agg(rnd(F.avg(F.levenshtein("p_name", "other"))).alias("mean_distance"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
-WHERE round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.45), r AS (SELECT vec_id AS id, vec_id AS reach FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach)
+WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.45), r AS (SELECT vec_id AS id, vec_id AS reach FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT id AS vec_id, min(reach) AS cluster FROM r GROUP BY id""")
 def single_link_clusters(spark, d):
-    """Single-link clusters of unit vectors within a label (the case): each case is a small group by its nature."""
+    """Single-link clusters of vectors within a label (the case)."""
     e = load(spark, d, "embeddings").select("vec_id", "label", "embedding")
     return clustering.single_link(e, "label", "vec_id", "embedding", 0.45).select("vec_id", "cluster")
 
@@ -141,10 +140,13 @@ def occurrences_by_words(spark, d):
     """Multi-pattern containment by an equi join on word n-grams."""
 
     def grams(df, key):
+        """Two hashes name an n-gram: 96 bits instead of its text."""
         w = df.select(key, F.split(F.lower("text"), " ").alias("w")).where(F.size("w") >= 8)
-        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("g"))
+        gram = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
+        return w.select(key, F.explode(F.array_distinct(F.transform(gram, lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("g"))))).alias("x")).select(key, "x.*")
 
-    return grams(load(spark, d, "documents"), "doc_id").join(grams(load(spark, d, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    passages = grams(load(spark, d, "benchmark"), "item_id")
+    return grams(load(spark, d, "documents"), "doc_id").join(passages, ["h", "g"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 # aggregates
@@ -167,11 +169,11 @@ def yield_thresholds(spark, d):
     return n.agg(*[F.count_if(F.col("n") >= k).alias(str(k)) for k in (3, 5, 10)]).select(F.explode(F.create_map(*[x for k in (3, 5, 10) for x in (F.lit(k), F.col(str(k)))])).alias("k", "users"))
 
 
-@query("""SELECT user_id, count(*) FILTER (event_type = t.a) AS n_a, count(*) FILTER (event_type <> t.a) AS n_rest FROM events, (SELECT min(event_type) AS a FROM events) t GROUP BY user_id""")
+@query("""SELECT user_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id)::BIGINT AS n_all FROM events GROUP BY user_id, event_type""")
 def nested_counts(spark, d):
-    e = load(spark, d, "events").select("user_id", "event_type")
-    first = e.agg(F.min("event_type").alias("a"))  # one row
-    return e.join(F.broadcast(first), F.lit(True)).groupBy("user_id").agg(F.count_if(F.col("event_type") == F.col("a")).alias("n_a"), F.count_if(F.col("event_type") != F.col("a")).alias("n_rest"))
+    """Counter within a counter: each key's counts by type beside its total, from one aggregate."""
+    by = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return by.withColumn("n_all", F.sum("n").over(W.partitionBy("user_id")))
 
 
 CONSENSUS_SQL = """WITH s AS (SELECT user_id, event_type, sum(value) AS v, count(*) AS n FROM events GROUP BY user_id, event_type),
@@ -219,10 +221,10 @@ def weighted_mode(spark, d):
 @query("""SELECT event_type, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.1), 4) AS p10,
 round(CASE WHEN quantile_cont(value, 0.1) > 0 AND quantile_cont(value, 0.9) > 0 THEN 10 * log10(quantile_cont(value, 0.9) / quantile_cont(value, 0.1)) END, 4) AS ratio_db FROM events GROUP BY event_type""")
 def percentile_ratio(spark, d):
-    """Linear-interpolated percentiles and their ratio in decibels."""
-    x = load(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.9).alias("a"), F.percentile("value", 0.1).alias("b"))
-    db = F.when((F.col("a") > 0) & (F.col("b") > 0), 10 * F.log10(F.col("a") / F.col("b")))
-    return x.select("event_type", rnd("a").alias("p90"), rnd("b").alias("p10"), rnd(db).alias("ratio_db"))
+    """Linear-interpolated percentiles and their ratio in decibels; only the cells that hold the ranks are sorted."""
+    x = ranking.percentiles(load(spark, d, "events"), "event_type", "value", [0.9, 0.1])
+    db = F.when((F.col("p1") > 0) & (F.col("p0") > 0), 10 * F.log10(F.col("p0") / F.col("p1")))
+    return x.select("event_type", rnd("p0").alias("p90"), rnd("p1").alias("p10"), rnd(db).alias("ratio_db"))
 
 
 @query("SELECT md5(text) AS text_key, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text")
@@ -294,9 +296,9 @@ def key_intersection(spark, d):
     return load(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k")).intersect(load(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey"))
 
 
-@query("(SELECT s_suppkey AS k FROM supplier) EXCEPT (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48)")
+@query("(SELECT s_suppkey AS k FROM supplier) EXCEPT (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_extendedprice > 99000)")
 def key_difference(spark, d):
-    return load(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).subtract(load(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey"))
+    return load(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).subtract(load(spark, d, "lineitem").where("l_quantity > 49 AND l_extendedprice > 99000").select("l_suppkey"))
 
 
 @query("""SELECT k, max_by(v, p) AS v FROM (SELECT n_nationkey AS k, n_name AS v, 1 AS p FROM nation UNION ALL SELECT r_regionkey, r_name, 2 FROM region) GROUP BY k""")
@@ -353,13 +355,24 @@ def decision_status(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.when(bad, "rejected").when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "pending").otherwise("on hold").alias("status"))
 
 
-AUDIT_SQL = """WITH e AS (SELECT user_id, event_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)
-SELECT event_id, sha256(coalesce(prev::VARCHAR, 'genesis') || '|' || event_id || '|' || event_type || '|' || user_id) AS entry_hash FROM e"""
+AUDIT_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT user_id, event_id, n, 'genesis' AS prev_hash, sha256('genesis' || '|' || event_id || '|' || event_type) AS hash FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, c.hash, sha256(c.hash || '|' || e.event_id || '|' || e.event_type) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)
+SELECT user_id, event_id, prev_hash, hash FROM c"""
+
+
+def _chained(spark, d):
+    return audit.chain(load(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", ["event_id", "event_type"])
 
 
 @query(AUDIT_SQL)
 def audit_links(spark, d):
-    """Hash of each entry with the key of the one before it in its log."""
-    before = F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
-    e = load(spark, d, "events").select("event_id", "event_type", "user_id", before.alias("prev"))
-    return e.select("event_id", F.sha2(F.concat_ws("|", F.coalesce(F.col("prev").cast("string"), F.lit("genesis")), F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")), 256).alias("entry_hash"))
+    """A hash chain for every user: each entry is hashed with the hash of the one before."""
+    return _chained(spark, d).select("user_id", "event_id", "prev_hash", "hash")
+
+
+@query("""SELECT user_id, min(event_id) FILTER (event_id % 97 = 0) IS NULL AS ok, min(event_id) FILTER (event_id % 97 = 0) AS first_bad FROM events GROUP BY user_id""")
+def audit_verified(spark, d):
+    """Verification of all chains, after every 97th entry was changed behind the log's back."""
+    changed = F.when(F.col("event_id") % 97 == 0, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))
+    return audit.verify_logs(_chained(spark, d).withColumn("event_type", changed), "user_id", "event_id", ["event_id", "event_type"])
