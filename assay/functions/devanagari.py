@@ -70,6 +70,11 @@ def match_key(s: Column) -> Column:
     return out
 
 
+def letters_only(s: Column) -> Column:
+    """Only Devanagari code points and spaces."""
+    return F.regexp_replace(s, r"[^\u0900-\u097F ]", "")
+
+
 def units(s: Column) -> Column:
     """Letters with their nukta, signs, marks and spaces, in order."""
     return F.regexp_extract_all(s, F.lit(f"(?s)[{CONSONANTS}]{NUKTA}|."), F.lit(0))

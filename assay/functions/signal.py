@@ -232,3 +232,58 @@ def snr_db(y: pa.Array) -> pa.Array:
 def located(heard: pa.Array, name: pa.Array) -> pa.Array:
     found = [None if h is None or n is None else locate(h, n) for h, n in zip(heard.to_pylist(), name.to_pylist(), strict=True)]
     return pa.array([f and dict(zip(("start", "end", "distance"), f, strict=True)) for f in found], pa.struct([("start", pa.int32()), ("end", pa.int32()), ("distance", pa.float64())]))
+
+
+LOGP = "array<array<float>>"
+
+
+def _frames(x: list | None) -> np.ndarray:
+    return np.asarray(x, dtype=np.float64) if x else np.zeros((0, 0))
+
+
+def transcribed(symbols: Symbols, joined_by: str = ""):
+    """A column function: struct(text, conf) of log-probabilities (frames x outputs); null stays null."""
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("conf", T.DoubleType())])
+
+    @F.arrow_udf(kind)
+    def run(logp: pa.Array) -> pa.Array:
+        found = [None if x is None else transcript(_frames(x), symbols, joined_by) for x in logp.to_pylist()]
+        return pa.array([f and {"text": f[0], "conf": f[1]} for f in found], pa.struct([("text", pa.string()), ("conf", pa.float64())]))
+
+    return run
+
+
+def aligned(symbols: Symbols):
+    """A column function of (log-probabilities, text): struct(spans of first and last frame, score); null stays null."""
+    span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+
+    @F.arrow_udf(T.StructType([T.StructField("spans", T.ArrayType(span)), T.StructField("score", T.DoubleType())]))
+    def run(logp: pa.Array, text: pa.Array) -> pa.Array:
+        out = []
+        for x, t in zip(logp.to_pylist(), text.to_pylist(), strict=True):
+            spans, score = ([], 0.0) if x is None or t is None else align(_frames(x), symbols.ids(t)[0], symbols.blank)
+            out.append(None if x is None or t is None else {"spans": [{"first": a, "last": b} for a, b in spans], "score": score})
+        return pa.array(out, pa.struct([("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("score", pa.float64())]))
+
+    return run
+
+
+def name_cut(symbols: Symbols):
+    """A column function of (samples, log-probabilities, name): struct(start, end, heard, distance, clip); null where the name isn't heard."""
+    kind = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("start", "end")), T.StructField("heard", T.StringType()), T.StructField("distance", T.DoubleType()), T.StructField("clip", T.ArrayType(T.FloatType()))])
+
+    @F.arrow_udf(kind)
+    def run(y: pa.Array, logp: pa.Array, name: pa.Array) -> pa.Array:
+        out = []
+        for a, x, t in zip(y.to_pylist(), logp.to_pylist(), name.to_pylist(), strict=True):
+            wave = np.asarray(a or [], dtype=np.float32)
+            found = None if a is None or x is None or t is None else cut(wave, _frames(x), symbols, t)
+            out.append(found and {**found, "clip": wave[found["start"] : found["end"]].tolist()})
+        return pa.array(out, pa.struct([("start", pa.int32()), ("end", pa.int32()), ("heard", pa.string()), ("distance", pa.float64()), ("clip", pa.list_(pa.float32()))]))
+
+    return run
+
+
+def span_label(prefix: Column, start: Column, end: Column) -> Column:
+    """A clip's label: what it is from and its place in samples, like `a#100-900`."""
+    return F.format_string("%s#%d-%d", prefix, start, end)

@@ -1,11 +1,10 @@
-"""Queries of the name reconciliation over stated evidence, for the driver's rows-only check; tests hold their values."""
+"""Evidence of stated cases as tables, for tests and trials of the reconciliation."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from assay.operators import reconcile as rc
-from assay.plans import evaluation
 
 #: (case, transcripts with confidences, existing record)
 CASES = [
@@ -27,21 +26,5 @@ def existing(spark: SparkSession, cases=CASES) -> DataFrame:
     return spark.createDataFrame([(c, *e) for c, _, e in cases if e], "case_id long, hi string, en string")
 
 
-def reconciled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rc.reconcile(evidence(spark), existing(spark), spark.createDataFrame([("कोटद्वारा",), ("कोटद्वार",)], "name string"))
-    return out.selectExpr("case_id", "devanagari", "ipa", "roman.recommended AS roman", "confidence.score AS score", "confidence.band AS band", "size(candidates) AS n_candidates", "size(variants) AS n_variants", "array_join(flags, '; ') AS flags", "error")
-
-
 #: What the names of CASES should be; that of case 4 is wrong on purpose, and case 6 has no usable clip.
 TRUTH = [(1, "देहरादून"), (2, "अल्मोड़ा"), (3, "कोटद्वार"), (4, "गलत"), (6, "कुछ")]
-
-
-def single_clip_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.single_clips(evidence(spark), spark.createDataFrame(TRUTH, "case_id long, name string"))
-
-
-def exact_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.by_band(rc.reconcile(evidence(spark)), spark.createDataFrame(TRUTH, "case_id long, name string"))
-
-
-QUERIES = {f.__name__: f for f in (reconciled_names, single_clip_rates, exact_by_band)}

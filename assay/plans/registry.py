@@ -1,6 +1,6 @@
 """All queries over the driver's tables, by name, and the SQL they are held against."""
 
-from assay.plans import reconciliation, relational
+from assay.plans import derived, relational
 
-QUERIES = relational.QUERIES | reconciliation.QUERIES
-ORACLE_SQL = relational.ORACLE_SQL
+QUERIES = relational.QUERIES | derived.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | derived.ORACLE_SQL

@@ -7,6 +7,7 @@ the caller's: `decide` returns the rows to append and the new status, so that on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions import devanagari as dv
@@ -39,6 +40,19 @@ def queue(cases: DataFrame, records: DataFrame, status: str = "", needle: str =
     return out.where(text.matches_any(needle, ["name_hi"], ["existing_en", "roman"])).orderBy("name_hi", "id")
 
 
+def by_confidence(queued: DataFrame, direction: str = "desc", most: int = 500) -> DataFrame:
+    """(id, confidence, place) of a queue by confidence, missing ones as 0; equal ones by name."""
+    value = F.coalesce("confidence", F.lit(0.0))
+    ordered = queued.select("id", "name_hi", value.alias("confidence")).orderBy(F.desc("confidence") if direction == "desc" else F.asc("confidence"), "name_hi", "id").limit(most)
+    order = W.orderBy(F.desc("confidence") if direction == "desc" else F.asc("confidence"), "name_hi", "id")  # over `most` rows
+    return ordered.withColumn("place", F.row_number().over(order).cast("long")).select("id", "confidence", "place")
+
+
+def files_of(asked: DataFrame, clips: DataFrame) -> DataFrame:
+    """(id, file) of the clips that are asked for; those that are not known are left out."""
+    return asked.select("id").distinct().join(clips.select("id", "file"), "id")
+
+
 def case(case_id: int, clips: DataFrame, witness: DataFrame) -> DataFrame:
     """The clips of a case by how well they were cut, each with its transcripts by witness; vectors are left out."""
     mine = clips.where(F.col("case_id") == case_id).drop("xvec")

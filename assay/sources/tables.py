@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,12 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet", most: int | None = None) -> DataFrame:
+    """(path, bytes) of the files of a folder by path, or of the first `most`; contents are not read."""
+    out = read_files(spark, path, pattern).select("path", F.col("length").alias("bytes")).orderBy("path")
+    return out if most is None else out.limit(most)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
@@ -59,6 +67,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def truncate(spark: SparkSession, path: str, schema: str) -> None:
+    """A Parquet table without rows in place of what was there. A log that is emptied starts again from its first entry."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def indented_json(df: DataFrame, key: list[str], most: int = 100_000) -> str:
+    """A small result as indented JSON with letters as they are, by key. More than `most` rows raise: a report is no export."""
+    rows = df.orderBy(*key).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return json.dumps([json.loads(r.j) for r in rows], indent=1, ensure_ascii=False)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of old whose keys are not in new, and those of new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
