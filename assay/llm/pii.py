@@ -233,7 +233,8 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every span in text replaced by its kind in brackets; spans that overlap become one, of the first's kind."""
     texts = df.select(F.col(text).alias("_text"))
-    narrow = kit.cut(with_items(with_base(texts, "_text"), "_text").where(F.size("_items") > 0).select("_items"))
+    # Rows without items are left out after the cut: a filter before it would repeat the whole expression of the items.
+    narrow = kit.cut(with_items(with_base(texts, "_text"), "_text").select("_items")).where(F.size("_items") > 0)
     out = with_spans(with_items(with_base(df, text), text), learn(narrow, texts, "_text"))
 
     def merge(acc: Column, s: Column) -> Column:
