@@ -54,21 +54,32 @@ SILENT = " \t\n\r\"'<(+@"
 SPAN = "array<struct<start:int,k:int,end:int>>"
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of the matches."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _placed(found: Column, between: Column) -> Column:
+    """array<struct<start,end,value>> of the matches, from them and the text between them; empty where they are null."""
     steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"), b.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         return F.struct((begin + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + x["n"]).alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(steps, start, add, lambda acc: acc["out"])
+    return F.coalesce(F.aggregate(steps, start, add, lambda acc: acc["out"]), none)
 
 
-def _if(there: Column, spans: Column) -> Column:
-    return F.when(there, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+def _matched(df: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with a column of places for each name, of (pattern, text or null).
+
+    Texts, matches and gaps are columns of their own, so that each is computed once: inside higher-order functions they
+    would be computed anew at every use.
+    """
+    df = df.withColumns({f"{name}_in": text for name, (_, text) in patterns.items()})
+    steps = {}
+    for name, (pattern, _) in patterns.items():
+        steps[f"{name}_found"] = F.regexp_extract_all(f"{name}_in", F.lit(pattern), F.lit(0))
+        steps[f"{name}_gaps"] = F.split(f"{name}_in", pattern, -1)
+    df = df.withColumns(steps).withColumns({name: _placed(F.col(f"{name}_found"), F.col(f"{name}_gaps")) for name in patterns})
+    return df.drop(*[f"{name}_in" for name in patterns], *steps)
 
 
 def _digits(value: Column) -> Column:
@@ -101,13 +112,14 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     """df with _base (sorted base spans)."""
     t = F.coalesce(F.col(text), F.lit(""))
     plain = F.translate(t, MARK, NEUTRAL)
-    out = df.withColumns(
+    out = _matched(
+        df,
         {
-            "_email": _if(F.contains(t, F.lit("@")), _placed(F.regexp_replace(plain, EMAIL_DOT, MARK), EMAIL)),
-            "_ip": _if(t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), _placed(t, IP)),
-            "_card": _if(t.rlike(r"(?:[0-9][ -]?){13}[0-9]"), _placed(F.regexp_replace(plain, CARD_GAP, MARK), CARD)),
-            "_phone": _if(F.contains(t, F.lit("+")), _placed(t, PHONE)),
-        }
+            "_email": (EMAIL, F.when(F.contains(t, F.lit("@")), F.regexp_replace(plain, EMAIL_DOT, MARK))),
+            "_ip": (IP, F.when(t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), t)),
+            "_card": (CARD, F.when(t.rlike(r"(?:[0-9][ -]?){13}[0-9]"), F.regexp_replace(plain, CARD_GAP, MARK))),
+            "_phone": (PHONE, F.when(F.contains(t, F.lit("+")), t)),
+        },
     )
     byte_parts = lambda v: F.forall(F.split(v, r"\."), _byte)
     card = lambda v: F.length(_digits(v)).between(14, 19) & luhn(F.when(F.length(_digits(v)).between(14, 19), _digits(v)).otherwise("0"))
@@ -116,8 +128,11 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("_base", F.array_sort(every)).drop("_email", "_ip", "_card", "_phone")
 
 
-def with_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """df, which has _base, with _found (items: start, end, value, base, seed) and the words and signs around them, _words and _signs."""
+def with_words(df: DataFrame, text: str = "text", every: bool = False) -> DataFrame:
+    """df, which has _base, with _found (items: start, end, value, base, seed) and the words and signs around them, _words and _signs.
+
+    Texts without items have null words and signs, unless every text is asked for.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     last = lambda acc: F.element_at(acc, -1)
     bare = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
@@ -128,19 +143,20 @@ def with_words(df: DataFrame, text: str = "text") -> DataFrame:
 
     none = F.array().cast("array<struct<start:int,end:int>>")
     base = F.aggregate("_base", none, lambda acc, s: F.when(F.size(acc) == 0, F.array(bare(s["start"], s["end"]))).otherwise(merge(acc, s)))
-    out = df.withColumn("_seeds", base).withColumn("_values", _if(t.rlike("[0-9]"), _placed(t, VALUE)))
+    out = _matched(df.withColumn("_seeds", base), {"_values": (VALUE, F.when(t.rlike("[0-9]"), t))})
     free = F.filter("_values", lambda x: ~F.exists("_seeds", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     item = lambda x, value, base, seed: F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), F.lit(base).alias("base"), seed.alias("seed"))
     seeds = F.transform("_seeds", lambda x: item(x, F.substring(t, x["start"] + 1, x["end"] - x["start"]), True, F.lit(True)))
     out = out.withColumn("_found", F.array_sort(F.concat(seeds, F.transform(free, lambda x: item(x, x["value"], False, x["value"].rlike(SECRET))))))
     plain = F.translate(F.translate(t, ITEM, NEUTRAL), "123456789", "000000000")
+    out = out.withColumn("_plain", plain if every else F.when(F.size("_found") > 0, plain))
     end_of = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("_found"), i - 1)["end"])
-    between = F.transform("_found", lambda x, i: F.concat(F.substring(plain, end_of(i) + 1, x["start"] - end_of(i)), F.lit(ITEM)))
-    rest = F.substring(plain, F.element_at(F.col("_found"), -1)["end"] + 1, F.length(plain))
-    hidden = F.lower(F.when(F.size("_found") > 0, F.concat(F.array_join(between, ""), rest)).otherwise(plain))
+    between = F.transform("_found", lambda x, i: F.concat(F.substring(F.col("_plain"), end_of(i) + 1, x["start"] - end_of(i)), F.lit(ITEM)))
+    rest = F.substring(F.col("_plain"), F.element_at(F.col("_found"), -1)["end"] + 1, F.length("_plain"))
+    hidden = F.lower(F.when(F.size("_found") > 0, F.concat(F.array_join(between, ""), rest)).otherwise(F.col("_plain")))
     out = out.withColumn("_hidden", hidden)
     signs = F.transform(F.split("_hidden", WORD, -1), lambda x: F.translate(x, SILENT, ""))
-    return out.withColumns({"_words": F.regexp_extract_all("_hidden", F.lit(WORD), F.lit(0)), "_signs": signs}).drop("_seeds", "_values", "_hidden")
+    return out.withColumns({"_words": F.regexp_extract_all("_hidden", F.lit(WORD), F.lit(0)), "_signs": signs}).drop("_seeds", "_values", "_plain", "_hidden")
 
 
 def _before(i: Column) -> Column:
@@ -165,12 +181,15 @@ def with_items(df: DataFrame, text: str = "text") -> DataFrame:
 
 def elsewhere(texts: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
     """(pattern, other): how often each of the patterns is next to something that is no item, or to nothing."""
-    out = with_words(with_base(texts.select(text), text), text)
-    word = lambda i: F.get(F.col("_words"), i)
-    free = lambda i: F.coalesce(word(i) != ITEM, F.lit(True))
-    left = F.transform("_words", lambda w, i: F.when(free(i + 1), _before(i)))
-    right = F.transform("_words", lambda w, i: F.when((i == 0) | free(i - 1), _after(i)))
-    every = out.select(F.explode(F.concat(left, right)).alias("pattern")).where("pattern IS NOT NULL")
+    out = with_words(with_base(texts.select(text), text), text, every=True)
+    end = F.array(F.lit(None).cast("string"))
+    shift = lambda c: F.slice(F.col(c), 2, F.size(c))
+    every_word = F.arrays_zip(F.col("_words").alias("word"), F.col("_signs").alias("sign"), shift("_signs").alias("sign_after"), F.concat(end, "_words").alias("prior"), shift("_words").alias("next"))
+    words = out.select(F.inline(every_word).alias("word", "sign", "sign_after", "prior", "next")).where(F.col("word") != ITEM)
+    free = lambda c: F.coalesce(F.col(c) != ITEM, F.lit(True))
+    left = F.when(free("next"), F.concat(F.lit("<"), "word", "sign_after"))
+    right = F.when(free("prior"), F.concat(F.lit(">"), "sign", "word"))
+    every = words.select(F.explode(F.array(left, right)).alias("pattern")).where("pattern IS NOT NULL")
     few = patterns.count() <= MAX_SHIPPED
     return every.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("other"))
 
