@@ -19,7 +19,7 @@ from assay.sources.shared import cut, shared_dir
 __all__ = ["Forest", "components", "cut", "shared_dir"]  # from the library's own parts
 
 #: Texts are handled in slices of about so many code units, which bounds a Python worker's memory.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from assay.llm import kit, pieces
 
 ALPHA, SEED = 1.0, 11
 CACHED = 2_000_000
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 class _Ids(dict):
