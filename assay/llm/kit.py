@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,8 +48,24 @@ def _lengths(texts: pa.Array) -> pa.Array:
     return pc.fill_null(pc.binary_length(texts), 0)
 
 
-def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callable[[pa.RecordBatch], list[pa.Array]], most: int = SLICE_BYTES) -> DataFrame:
-    """df with the arrays that work(slice) gives as further columns. Columns of the same names are replaced."""
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Freed memory goes back to the system: allocators keep it otherwise, and workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callable[[pa.RecordBatch], list[pa.Array]], most: int = SLICE_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """df with the arrays that work(slice) gives as further columns. Columns of the same names are replaced.
+
+    done() is called at a partition's end, to drop what work has kept.
+    """
     base = df.drop(*[f.name for f in fields if f.name in df.columns])
     schema = T.StructType([*base.schema.fields, *fields])
     names = schema.fieldNames()
@@ -57,6 +74,11 @@ def append(df: DataFrame, fields: list[T.StructField], column: str, work: Callab
         for batch in batches:
             for part in slices(batch, column, most):
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(part)], names=names)
+                release()
+            batch = part = None  # else they are held while the next batch is read
+        if done:
+            done()
+        release()
 
     return base.mapInArrow(run, schema)
 

@@ -79,6 +79,8 @@ def fit(df: DataFrame, use: Column, text: str = "text", lang: str = "lang", key:
                     inside = np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange((end - begin).sum())
                     grams += np.bincount(h[inside], minlength=BUCKETS)
                     by_script += np.bincount(script, weights=end - begin, minlength=len(by_script)).astype(np.int64)
+            batch = part = None
+        kit.release()
         for name, (grams, by_script) in sums.items():
             all_ = np.concatenate([grams, by_script])
             at = np.flatnonzero(all_)
@@ -137,10 +139,12 @@ def label(texts: list[str], model: Model, switch: float = SWITCH) -> tuple[list[
     k, n = len(model.languages), len(texts)
     if not k or not len(begin):
         return [UND] * n, [0.0] * n, [""] * n
-    per_char = model.trigrams[h]
+    per_char = model.trigrams[np.append(h, 0)]  # a row more, as the last word may end the texts
+    per_char[-1] = 0
     flat = np.empty(2 * len(begin), dtype=np.int64)
     flat[0::2], flat[1::2] = begin, end
-    scores = np.add.reduceat(np.concatenate([per_char, np.zeros((1, k), np.float32)]), flat, axis=0)[0::2]
+    scores = np.add.reduceat(per_char, flat, axis=0)[0::2]
+    del per_char
     allowed = model.allowed[script]
     allowed |= ~allowed.any(axis=1)[:, None]
     neutral = ~model.allowed[script].any(axis=1)

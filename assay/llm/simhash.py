@@ -83,6 +83,7 @@ def links(distinct: DataFrame) -> DataFrame:
         for batch, starts in kit.whole_groups(batches, ["k", "shared"]):
             a, b = _forest(*(np.asarray(batch[c]) for c in ("k", "shared", "left")), starts)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        kit.release()
 
     return lists.mapInArrow(run, "a long, b long").distinct()
 

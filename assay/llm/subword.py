@@ -4,7 +4,7 @@ Forward filtering: at each place of a word the log sum of the scores of all segm
 from the word's end, a piece is drawn with its share of that sum, until the start. Scores are those of a unigram model
 with Zipf's weights over the vocabulary's ranks, times `ALPHA`. Draws are a hash of seed, row key, place of the word in
 the text and step, so a row's segmentation depends on nothing else. Words that were seen keep their lattice in memory
-(`CACHED` states, then the memory is cleared).
+(`CACHED` states, then the memory is cleared) until their partition ends.
 
 Decoding is lossless: a leading space is added before encoding and taken off after, characters without a piece become
 bytes, and so does the space mark itself where a text holds it.
@@ -212,8 +212,12 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", model: str =
             out.append(pa.array(same, pa.bool_()))
         return out
 
+    def done() -> None:
+        kept.clear()
+        tables.clear()
+
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *([T.StructField("lossless", T.BooleanType())] if check else [])]
-    return kit.append(df, fields, text, work, SLICE_BYTES)
+    return kit.append(df, fields, text, work, SLICE_BYTES, done)
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", model: str = pieces.DEFAULT, to: str = "decoded") -> DataFrame:

@@ -3,12 +3,14 @@
 import hashlib
 import re
 import threading
+import weakref
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
 from assay.llm import decontaminate, embeddings, kit, langid, lmscore, pieces, pii, queries, shards, simhash, subword, tokencount, urlfilter
@@ -762,3 +764,43 @@ def test_slices_bound_the_work():
     batch = pa.RecordBatch.from_pydict({"t": ["a" * 10, None, "b" * 50, "c", "", "d" * 5]})
     got = [b.column(0).to_pylist() for b in kit.slices(batch, "t", 12)]
     assert [x for b in got for x in b] == batch.column(0).to_pylist() and len(got) == 3
+
+
+class _Partition:
+    """Stands for a DataFrame: holds the function that a worker would get."""
+
+    columns = ["doc_id", "text"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def drop(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+
+def _anonymous_mb():
+    with open("/proc/self/status") as f:
+        return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_workers_give_memory_back_and_drop_lattices(monkeypatch):
+    pins = []
+
+    def work(batch):
+        held = [np.ones(8_000) for _ in range(2_000)]  # 128 MB in pieces that the allocator keeps
+        pins.append(bytearray(64_000))  # above them
+        del held
+        return [batch.column("doc_id")]
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    empty = batch.slice(0, 0)
+    run = kit.append(_Partition(), [T.StructField("n", T.LongType())], "text", work).run
+    before = _anonymous_mb()
+    assert [b.num_rows for b in run(iter([empty, batch, empty]))] == [2] and _anonymous_mb() - before < 40
+    made, plain = [], subword.Lattices
+    monkeypatch.setattr(subword, "Lattices", lambda *a: made.append(weakref.ref(x := plain(*a))) or x)
+    run = subword.encode(_Partition(), check=True).run
+    first, second = (pa.Table.from_batches(list(run(iter([batch])))) for _ in range(2))
+    assert first.equals(second) and len(made) == 2 and not any(x() for x in made)
