@@ -23,7 +23,7 @@ from assay.sources.shared import cut
 
 WITNESS_WEIGHTS = {"vakyansh": 1.0, "indicw2v": 0.8}
 SUPPORTS = 0.55
-EVIDENCE = "case_id long, clip_id string, seq int, wseq int, speaker string, synthetic boolean, snr_db double, witness string, text string, conf double"
+EVIDENCE = "case_id long, clip_id string, seq long, wseq int, speaker string, synthetic boolean, snr_db double, witness string, text string, conf double"
 
 
 def clip_weights(hyps: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def neighbours(candidates: DataFrame, gazetteer: DataFrame, most: float = 0.3, k
 def _candidates(hyps: DataFrame, votes: DataFrame, existing: DataFrame | None, gazetteer: DataFrame | None) -> DataFrame:
     """(case_id, text, origin, place, phones), the first origin of a text wins."""
     spark = hyps.sparkSession
-    row = lambda df, text, origin, p, s: df.select("case_id", F.col(text).alias("text"), F.lit(origin).alias("origin"), F.lit(p).alias("p"), s.cast("long").alias("s"))
-    found = row(hyps.where("norm <> ''"), "norm", "witness", 0, F.col("seq") * 1000 + F.col("wseq")).unionByName(row(votes.where("voted <> ''"), "voted", "vote", 1, F.lit(0)))
+    # Places are pairs: a number made of seq and wseq would overflow where a table numbers its clips throughout.
+    row = lambda df, text, origin, p, s, w=F.lit(0): df.select("case_id", F.col(text).alias("text"), F.lit(origin).alias("origin"), F.lit(p).alias("p"), F.struct(s.cast("long").alias("s"), w.cast("long").alias("w")).alias("s"))
+    found = row(hyps.where("norm <> ''"), "norm", "witness", 0, F.col("seq"), F.col("wseq")).unionByName(row(votes.where("voted <> ''"), "voted", "vote", 1, F.lit(0)))
     if existing is not None:
         found = found.unionByName(row(existing.withColumn("n", dv.normalise(F.col("hi"))).where("n <> ''").join(votes, "case_id", "left_semi"), "n", "existing", 2, F.lit(0)))
 
