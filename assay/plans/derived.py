@@ -67,7 +67,7 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     heard = F.when((k % 5 == 0) & (F.length(n) > 2), F.substring(n, F.lit(1), F.length(n) - 2)).when(k % 7 == 0, F.replace(n, F.lit("ा"), F.lit("ि"))).otherwise(n)
     return o.select(
-        F.col("o_custkey").cast("long").alias("case_id"), k.cast("string").alias("clip_id"), k.cast("int").alias("seq"), F.lit(0).alias("wseq"), (k % 6).cast("string").alias("speaker"), (k % 11 == 0).alias("synthetic"),
+        F.col("o_custkey").cast("long").alias("case_id"), k.cast("string").alias("clip_id"), k.cast("long").alias("seq"), F.lit(0).alias("wseq"), (k % 6).cast("string").alias("speaker"), (k % 11 == 0).alias("synthetic"),
         (k % 40).cast("double").alias("snr_db"), F.when(k % 13 == 0, "phones").otherwise("vakyansh").alias("witness"), heard.alias("text"), (0.5 + (k % 50) / 100).alias("conf"),
     )
 

@@ -21,3 +21,8 @@ PERIOD = 600_600
 def test_bands_with_clips_numbered_in_millions(spark, sf_dir, tmp_path):
     small, large = (sorted(map(tuple, derived.exact_by_band(spark, shifted(spark, sf_dir, tmp_path / str(n), n * PERIOD)).collect())) for n in (0, 15))
     assert small == large and small
+
+
+def test_records_of_keys_beyond_32_bits(spark, sf_dir, tmp_path):
+    small, large = (sorted(map(tuple, derived.reconciled_names(spark, shifted(spark, sf_dir, tmp_path / str(n), n * PERIOD)).collect())) for n in (0, 5000))
+    assert small == large and small
