@@ -1,8 +1,11 @@
 """What failed or grew too fast over larger tables: results are held against those of small keys, brute force or SQL."""
 
-import pytest
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from assay.operators import vote
 from assay.plans import derived
 
 
@@ -26,3 +29,30 @@ def test_bands_with_clips_numbered_in_millions(spark, sf_dir, tmp_path):
 def test_records_of_keys_beyond_32_bits(spark, sf_dir, tmp_path):
     small, large = (sorted(map(tuple, derived.reconciled_names(spark, shifted(spark, sf_dir, tmp_path / str(n), n * PERIOD)).collect())) for n in (0, 5000))
     assert small == large and small
+
+
+def test_a_vote_compares_equal_texts_once(monkeypatch):
+    calls, table = [], vote._table
+    monkeypatch.setattr(vote, "_table", lambda a, b: calls.append(1) or table(a, b))
+    texts = ["abc", "abxc", "axc"] * 100
+    assert vote.column_vote(texts, [1.0] * 300) == "abc" and len(calls) <= 10
+    rng = random.Random(4)
+    for _ in range(200):
+        texts = ["".join(rng.choices("ab ", k=rng.randint(0, 5))) for _ in range(rng.randint(0, 9))]
+        weights = [rng.choice([0.0, 0.3, 1.0]) for _ in texts]
+        assert vote.column_vote(texts, weights) == plain_vote(texts, weights)
+
+
+def plain_vote(texts, weights):
+    """The vote as told, with every row compared with every other."""
+    pairs = [(t, w) for t, w in zip(texts, weights, strict=True) if t]
+    if len(pairs) < 2:
+        return pairs[0][0] if pairs else ""
+    medoid = min((t for t, _ in pairs), key=lambda t: sum(vote._table(t, o)[-1][-1] for o, _ in pairs))
+    at, between = [Counter() for _ in medoid], [Counter() for _ in range(len(medoid) + 1)]
+    for text, weight in pairs:
+        for votes, symbols in zip((at, between), vote._aligned(text, medoid), strict=True):
+            for column, symbol in zip(votes, symbols, strict=True):
+                column[symbol] += weight
+    first = lambda c: c.most_common(1)[0][0]
+    return "".join(first(b) + a for b, a in zip(between, [*map(first, at), ""], strict=True))
