@@ -1,12 +1,13 @@
 """What failed or grew too fast over larger tables: results are held against those of small keys, brute force or SQL."""
 
+import hashlib
 import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from assay.operators import vote
-from assay.plans import derived
+from assay.operators import gazetteer, grams, vote
+from assay.plans import derived, evaluation, relational
 
 
 def shifted(spark, sf_dir, folder, by):
@@ -56,3 +57,24 @@ def plain_vote(texts, weights):
                 column[symbol] += weight
     first = lambda c: c.most_common(1)[0][0]
     return "".join(first(b) + a for b, a in zip(between, [*map(first, at), ""], strict=True))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_grams_are_told_without_rows_of_their_own(spark, sf_dir):
+    assert "Generate" not in plan_of(relational.occurrences_by_words(spark, sf_dir))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "B", "c", ""], k=rng.randint(0, 12))) for _ in range(60)] + [None, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    words = [[] if t is None else t.lower().split(" ") for t in texts]
+    want = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in words]
+    asked = grams.hashed(df.where("k < 5"), "k", "t", 3)
+    met = {}
+    for shipped in (0, 1000):
+        found = grams.hashed(df, "k", "t", 3, asked, shipped)
+        met[shipped] = sorted(map(tuple, found.join(asked.withColumnRenamed("k", "o"), ["h", "g"]).groupBy("k", "o").count().collect()))
+    shared = [(k, o, len(want[k] & want[o])) for k in range(len(texts)) for o in range(5) if want[k] & want[o]]
+    assert met[0] == met[1000] == shared
+    assert sorted(map(tuple, grams.hashed(df, "k", "t", 3).groupBy("k").count().collect())) == [(k, len(w)) for k, w in enumerate(want) if w]
