@@ -25,6 +25,8 @@ STOP = """भारत हिन्दी नगर गाँव गांव 
 SUFFIXES = ["जिला", "ज़िला", "तहसील", "नगर पालिका", "नगर निगम", "ब्लॉक", "विकासखंड"]
 SUFFIXES_EN = ["district", "tehsil", "block", "municipality", "nagar panchayat"]
 LETTER = "ऀ-ॿ"
+#: Names that are shipped to every task; more of them are joined.
+SHIPPED = 100_000
 
 
 def cleaned(hi: Column) -> Column:
@@ -50,24 +52,46 @@ def build(sources: list[tuple[str, DataFrame]], common: DataFrame | None = None,
     return once.join(words, "name", "left").withColumn("ambiguous", F.col("_known").isNotNull()).drop("_known")
 
 
-def occurrences(texts: DataFrame, names: DataFrame, key: str, text: str = "text", name: str = "name", letter: str = LETTER) -> DataFrame:
+def occurrences(texts: DataFrame, names: DataFrame, key: str, text: str = "text", name: str = "name", letter: str = LETTER, shipped: int = SHIPPED) -> DataFrame:
     """(key, name, start, end) of names in texts: from the left, the longest first, not overlapping, not within a run of letters.
 
-    The windows of each text that names could fill, by their lengths and the edges of letter runs, join the names; so the
-    gazetteer may be of any size. key must name a row. Places are code points, end exclusive.
+    Names of letters alone can only be whole runs; the others are looked for in windows of their lengths between the edges of
+    runs. Up to `shipped` names go to every task, which leaves out what is no name and what overlaps. Of more names, all runs
+    and windows of a fitting length join the names, so the gazetteer may be of any size. key must name a row. Places are code
+    points, end exclusive.
     """
     wanted = names.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
-    lengths = sorted((r[0] for r in wanted.select(F.length("name")).distinct().collect()), reverse=True)  # few: names are short
-    inside = re.compile(f"[{letter}]")
+    few = [r[0] for r in wanted.limit(shipped + 1).collect()]
+    known = frozenset(few) if len(few) <= shipped else None
+    solid = ~F.col("name").rlike(f"[^{letter}]")
+    sizes = {(len(n), not re.search(f"[^{letter}]", n)) for n in known} if known is not None else {tuple(r) for r in wanted.select(F.length("name"), solid).distinct().collect()}  # few: names are short
+    runs_of, lengths = frozenset(n for n, whole in sizes if whole), sorted((n for n, whole in sizes if not whole), reverse=True)
+    firsts = None if known is None else frozenset(n[0] for n in known if re.search(f"[^{letter}]", n))
+    run, inside = re.compile(f"[{letter}]+"), re.compile(f"[{letter}]")
+
+    def held(t: str) -> list[tuple[int, str]]:
+        fits = (lambda w: len(w) in runs_of) if known is None else known.__contains__
+        found = [(m.start(), m.group()) for m in run.finditer(t) if fits(m.group())] if runs_of else []
+        if lengths:
+            within = [bool(inside.match(c)) for c in t]
+            starts = [i for i in range(len(t)) if (i == 0 or not within[i - 1]) and (firsts is None or t[i] in firsts)]
+            windows = ((i, t[i : i + n]) for i in starts for n in lengths if i + n <= len(t) and not (i + n < len(t) and within[i + n]))
+            found += [(i, w) for i, w in windows if (known is None or w in known) and not run.fullmatch(w)]
+        return found
+
+    def taken(found: list[tuple[int, str]]) -> Iterator[tuple[int, str]]:
+        end = 0
+        for i, w in sorted(found, key=lambda x: (x[0], -len(x[1]))):
+            if i >= end:
+                end = i + len(w)
+                yield i, w
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = batch.column(0), []
             for row, t in enumerate(batch.column(1).to_pylist()):
-                t = t or ""
-                within = [bool(inside.match(c)) for c in t]
-                edge = [i == 0 or not within[i - 1] for i in range(len(t))]
-                found += [(row, i, t[i : i + n]) for i in range(len(t)) if edge[i] for n in lengths if i + n <= len(t) and not (i + n < len(t) and within[i + n])]
+                mine = held(t or "")
+                found += [(row, i, w) for i, w in (mine if known is None else taken(mine))]
                 if len(found) > 50_000:
                     yield _batch(keys, found)
                     found = []
@@ -79,7 +103,10 @@ def occurrences(texts: DataFrame, names: DataFrame, key: str, text: str = "text"
 
     kind = texts.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("start", T.IntegerType()), T.StructField("name", T.StringType())])
-    hits = texts.select(F.col(key), F.col(text)).mapInArrow(windows, schema).join(wanted, "name")
+    hits = texts.select(F.col(key), F.col(text)).mapInArrow(windows, schema)
+    if known is not None:
+        return hits.select(F.col("key").alias(key), "name", "start", (F.col("start") + F.length("name")).alias("end"))
+    hits = hits.join(wanted, "name")
     listed = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", (-F.length("name")).alias("n"), "name"))).alias("x"))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,n:int,name:string>>").alias("taken"))
     step = lambda acc, h: F.when(h["start"] >= acc["end"], F.struct((h["start"] - h["n"]).alias("end"), F.array_append(acc["taken"], h).alias("taken"))).otherwise(acc)

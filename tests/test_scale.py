@@ -78,3 +78,21 @@ def test_word_grams_are_told_without_rows_of_their_own(spark, sf_dir):
     shared = [(k, o, len(want[k] & want[o])) for k in range(len(texts)) for o in range(5) if want[k] & want[o]]
     assert met[0] == met[1000] == shared
     assert sorted(map(tuple, grams.hashed(df, "k", "t", 3).groupBy("k").count().collect())) == [(k, len(w)) for k, w in enumerate(want) if w]
+
+
+def test_occurrences_of_few_names_need_no_shuffle(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ab -", k=rng.randint(0, 14))) for _ in range(80)] + [None, ""]
+    names = ["ab", "a", "ab a", "b-", " a", "aab", "-", "ba b", "bb"]
+    df, listed = spark.createDataFrame(list(enumerate(texts)), "k long, t string"), spark.createDataFrame([(n,) for n in names], "name string")
+    want = []
+    for k, t in enumerate(texts):
+        i, letter = 0, lambda x: x in "ab"
+        while t and i < len(t):
+            edge = i == 0 or not letter(t[i - 1])
+            hit = max((n for n in names if edge and t.startswith(n, i) and not (i + len(n) < len(t) and letter(t[i + len(n)]))), key=len, default="")
+            want += [(k, hit, i, i + len(hit))] if hit else []
+            i += len(hit) or 1
+    few, many = (gazetteer.occurrences(df, listed, "k", "t", letter="ab", shipped=n) for n in (100, 0))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(want) and len(want) > 50
+    assert "Exchange" not in plan_of(few)
