@@ -44,12 +44,12 @@ def by_band(records: DataFrame, truth: DataFrame) -> DataFrame:
 def samples(evidence: DataFrame, sizes: tuple[int, ...] = SWEEP, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
     """Evidence of k clips of each case that has so many, for every k and repeat, as new cases; _case and k name their origin."""
     draws = [(i * repeats + r, k, r) for i, k in enumerate(sizes) for r in range(repeats)]
-    clips = evidence.select("case_id", "clip_id").distinct().withColumn("_n", F.count("*").over(W.partitionBy("case_id")))
-    drawn = clips.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(r).alias("r")) for i, k, r in draws]))).where("_n >= d.k")
-    order = F.sha1(F.concat_ws(":", "clip_id", F.lit(seed), "d.k", "d.r"))
-    rank = F.row_number().over(W.partitionBy("case_id", "d.i").orderBy(order, "clip_id"))
-    drawn = drawn.withColumn("_rank", rank).where("_rank <= d.k").select("case_id", "clip_id", "d.i", "d.k")
-    mixed = evidence.join(drawn, ["case_id", "clip_id"])
+    listed = evidence.groupBy("case_id").agg(F.collect_set(F.struct("clip_id")).alias("_c"))
+    asked = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(r).alias("r")) for i, k, r in draws]), lambda d: F.size("_c") >= d["k"])
+    order = lambda d: F.array_sort(F.transform("_c", lambda c: F.struct(F.sha1(F.concat_ws(":", c["clip_id"], F.lit(seed), d["k"], d["r"])), c["clip_id"].alias("clip_id"))))
+    # Each case is drawn from within its row: rows of clips x draws would be sorted, and spilled, by the few tasks of a small shuffle.
+    drawn = listed.select("case_id", F.inline(F.flatten(F.transform(asked, lambda d: F.transform(F.slice(order(d), 1, d["k"]), lambda c: F.struct(c["clip_id"].alias("clip_id"), d["i"].alias("i"), d["k"].alias("k")))))))
+    mixed = evidence.join(drawn.hint("merge"), ["case_id", "clip_id"])
     return mixed.withColumn("_case", F.col("case_id")).withColumn("case_id", F.col("case_id") * len(draws) + F.col("i")).drop("i")
 
 

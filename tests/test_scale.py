@@ -96,3 +96,15 @@ def test_occurrences_of_few_names_need_no_shuffle(spark):
     few, many = (gazetteer.occurrences(df, listed, "k", "t", letter="ab", shipped=n) for n in (100, 0))
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(want) and len(want) > 50
     assert "Exchange" not in plan_of(few)
+
+
+def test_draws_are_made_within_the_row_of_a_case(spark):
+    rows = [(c, str(i), c * 100 + i) for c, n in ((1, 1), (2, 5), (3, 30)) for i in range(n)]
+    drawn = evaluation.samples(spark.createDataFrame(rows + rows[:3], "case_id long, clip_id string, seq long"), (1, 4, 8), 2, 7)
+    want = []
+    for i, (k, r) in enumerate((k, r) for k in (1, 4, 8) for r in range(2)):
+        for c, n in ((1, 1), (2, 5), (3, 30)):
+            order = sorted(map(str, range(n)), key=lambda x: (hashlib.sha1(f"{x}:7:{k}:{r}".encode()).hexdigest(), x))
+            want += [(c * 6 + i, c, x, k) for x in order[:k] if n >= k for _ in range(1 + ((c, x) in {(1, "0"), (2, "0"), (2, "1")}))]
+    assert sorted((r.case_id, r._case, r.clip_id, r.k) for r in drawn.collect()) == sorted(want)
+    assert "Window" not in plan_of(drawn)
